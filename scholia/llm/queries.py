@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate
+from scholia.llm import decontaminate, quality, urlfilter
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,5 +35,50 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
-ORACLES = {"op4_decontaminate": OP4_SQL}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the verdict of each document."""
+    return quality.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_BLANK = "\\x20\\x09-\\x0D"
+
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{_BLANK}]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+g AS (SELECT rid, i, hash(ws[i:i + 4]) AS g, ws[i:i + 4] AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+many AS (SELECT rid, g, win FROM g GROUP BY rid, g, win HAVING count(*) > 1),
+spots AS (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT g.rid, g.i FROM g JOIN many USING (rid, g, win))),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM spots GROUP BY rid),
+f AS (SELECT rid, doc_id, t, len(ws) AS n_words, coalesce(n, 0) AS n_repeat_words,
+      length(regexp_replace(t, '[{_BLANK}]+', '', 'g')) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(list_filter(ls, lambda x: regexp_matches(x, '[^{_BLANK}]'))) AS n_lines,
+      len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^{_BLANK}]')))) AS n_lines_distinct,
+      len(list_filter(ws, lambda x: list_contains({list(quality.STOP_WORDS)}, translate(x, '{_UPPER}', '{_LOWER}')))) AS n_stop,
+      length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper
+      FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_lines - n_lines_distinct AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND {quality.rules_sql()} AS kept
+FROM b
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of each page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, urlfilter.CONTRACT_RULES, urlfilter.own_rules()))
+
+
+OP9_SQL = rf"""
+WITH r(verdict, h, p) AS (VALUES {", ".join(str(x) for x in urlfilter.CONTRACT_RULES)}),
+u AS (SELECT row_number() OVER () AS rid, page_id,
+      translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, verdict DESC) AS k
+      FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
+"""
+
+QUERIES = {"op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+ORACLES = {"op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}
