@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, quality, urlfilter, warc
+from scholia.llm import decontaminate, packing, quality, urlfilter, warc
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +79,11 @@ FROM b
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in its sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of each page's url."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, urlfilter.CONTRACT_RULES, urlfilter.own_rules()))
@@ -94,5 +99,5 @@ m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid O
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
 """
 
-QUERIES = {"op1_warc": op1_warc, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}

@@ -7,6 +7,7 @@ end between words, so that memory doesn't follow the length of a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -88,17 +89,15 @@ def blocks(offs: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
     return out
 
 
-def words(data: np.ndarray, offs: np.ndarray, cls: tuple[np.ndarray, np.ndarray] = ALNUM) -> Words:
-    """All words of the texts between the offsets."""
+def pieces(data: np.ndarray, offs: np.ndarray, cls: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes in lower case, places where a text starts) of pieces of about CHUNK bytes that end between words."""
     low, isw = cls
     a, last = int(offs[0]), int(offs[-1])
-    hs, ss, es = [], [], []
     edges = offs[1:-1]
     while a < last:
         b = min(a + CHUNK, last)
         if b < last:
-            x = isw[low[data[a:b]]]
-            gap = np.flatnonzero(~x)
+            gap = np.flatnonzero(~isw[low[data[a:b]]])
             k = int(np.searchsorted(edges, b, "right"))
             edge = int(edges[k - 1]) if k and edges[k - 1] > a else a
             b2 = max(a + int(gap[-1]) + 1 if len(gap) else a, edge)
@@ -109,26 +108,37 @@ def words(data: np.ndarray, offs: np.ndarray, cls: tuple[np.ndarray, np.ndarray]
                 stop += [b + int(more[0])] if len(more) else []
                 stop += [int(edges[k])] if k < len(edges) and edges[k] <= b + CHUNK else []
                 if stop:
-                    b2 = min(stop)
+                    b2 = max(min(stop), a + 1)
                 else:
                     b += CHUNK
             b = b2
-        x = low[data[a:b]]
+        yield a, low[data[a:b]], edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b, "left")] - a
+        a = b
+
+
+def span_ids(x: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Ids of the byte strings x[s:e]."""
+    c = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(x)), out=c[1:])
+    return mix((c[e] - c[s]) * _power_table(_INV, len(x))[s])
+
+
+def words(data: np.ndarray, offs: np.ndarray, cls: tuple[np.ndarray, np.ndarray] = ALNUM) -> Words:
+    """All words of the texts between the offsets."""
+    isw = cls[1]
+    hs, ss, es = [], [], []
+    for a, x, inner in pieces(data, offs, cls):
         m = isw[x]
         st, en = m.copy(), np.zeros(len(m) + 1, bool)
         st[1:] &= ~m[:-1]
         en[1:] = m
         en[1:-1] &= ~m[1:]
-        inner = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b, "left")] - a
         st[inner] = m[inner]
         en[inner] = m[inner - 1]
         s, e = np.flatnonzero(st), np.flatnonzero(en)
-        c = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(x)), out=c[1:])
-        hs.append(mix((c[e] - c[s]) * _power_table(_INV, len(x))[s]))
+        hs.append(span_ids(x, s, e))
         ss.append(s + a)
         es.append(e + a)
-        a = b
     if not hs:
         return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64))
     s = np.concatenate(ss)
