@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, packing, quality, urlfilter, warc
+from scholia.llm import decontaminate, neardup, packing, quality, urlfilter, warc
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +25,11 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return neardup.classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
     return decontaminate.scan(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -99,5 +104,5 @@ m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid O
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
 """
 
-QUERIES = {"op1_warc": op1_warc, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}
