@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, neardup, packing, quality, urlfilter, warc
+from scholia.llm import decontaminate, langid, neardup, packing, pii, quality, urlfilter, warc
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +30,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
     return decontaminate.scan(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -54,6 +59,11 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in each document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of each document."""
     return quality.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -104,5 +114,5 @@ m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid O
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
 """
 
-QUERIES = {"op1_warc": op1_warc, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op3_language": op3_language, "op5_personal_data": op5_personal_data, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}
