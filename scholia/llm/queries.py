@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, langid, neardup, packing, pii, quality, urlfilter, warc
+from scholia.llm import decontaminate, langid, neardup, packing, pii, quality, toxicity, urlfilter, warc
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,5 +114,10 @@ m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid O
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_language": op3_language, "op5_personal_data": op5_personal_data, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document."""
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op1_warc": op1_warc, "op3_language": op3_language, "op5_personal_data": op5_personal_data, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}
