@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, langid, neardup, packing, pii, quality, toxicity, urlfilter, warc
+from scholia.llm import decontaminate, langid, maxent, neardup, packing, pii, quality, toxicity, urlfilter, warc
 from scholia.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +64,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of each document."""
+    return maxent.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of each document."""
     return quality.measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -119,5 +124,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op1_warc": op1_warc, "op3_language": op3_language, "op5_personal_data": op5_personal_data, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
+QUERIES = {"op6_language_model": op6_language_model, "op10_toxicity": op10_toxicity, "op1_warc": op1_warc, "op3_language": op3_language, "op5_personal_data": op5_personal_data, "op2_near_duplicates": op2_near_duplicates, "op8_packing": op8_packing, "op7_quality": op7_quality, "op9_url_filter": op9_url_filter, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_warc": OP1_SQL, "op7_quality": OP7_SQL, "op9_url_filter": OP9_SQL, "op4_decontaminate": OP4_SQL}
