@@ -12,8 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed but lies on a path that they see."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +45,7 @@ def remove_dir(spark: SparkSession, path: str) -> None:
 
 def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
+    ready(spark)
     path = shared_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,6 +53,7 @@ def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over Arrow batches; it never sees more than one batch."""
+    ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

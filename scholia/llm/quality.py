@@ -103,6 +103,8 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of documents that pass, with all their columns."""
-    # the counts need doc_id and text only: the row itself travels through in their place of doc_id
+    # the row travels in the place of doc_id; a generator drops it, as a filter would be pushed
+    # down below the projections, with the counts' expressions copied into it many times over
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
-    return measure(whole, rules).where("kept").select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
+    rows = measure(whole, rules).select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row_"))
+    return rows.select(*(F.col("row_").getField(c).alias(c) for c in docs.columns))
