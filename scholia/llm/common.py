@@ -68,6 +68,14 @@ def remainder(col: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("null")).cast("binary")) % n
 
 
+def thinned(df: DataFrame, key: str, rows: int, margin: int = 4) -> DataFrame:
+    """About margin * rows of many rows, those of the least hashes of key, so that a bounded sample of them passes through one task whatever their number; all of few rows."""
+    n = df.count()
+    if n <= margin * rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * margin * rows / n))
+
+
 def partitions(rows: int, per: int) -> int:
     """So many partitions that each holds about per rows."""
     return max(1, -(-rows // per))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import map_batches, remainder
+from scholia.llm.common import map_batches, remainder, thinned
 from scholia.llm.textbytes import ALNUM, Words, blocks, buffer, mix, word_id, words
 from scholia.llm.transducers import Transducer, compose, outputs
 
@@ -202,7 +202,7 @@ def _fit_task(batches):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of labelled training rows, in a task; only the model comes back."""
     some = labels.where((remainder("doc_id", 5) != 0) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("id_"), F.col("toxic").cast("int").alias("toxic_"))
-    some = some.orderBy(F.xxhash64("id_"), "id_", "toxic_").limit(sample_rows)
+    some = thinned(some, "id_", sample_rows).orderBy(F.xxhash64("id_"), "id_", "toxic_").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col("text").cast("string").alias("text")).where((F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(some), "id_")
     got = rows.select("text", F.col("toxic_").alias("toxic")).orderBy(F.md5("text")).limit(sample_rows).repartition(1).mapInPandas(_fit_task, "model binary").collect()
     return pickle.loads(got[0].model) if got else _model()
