@@ -98,13 +98,13 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         _without(F.col("t_"), _UPPER + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)).cast("long").alias("n_upper"),
     )
     d = d.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
-    return d.withColumn("kept", F.expr(f"NOT base_failed AND {rules_sql(rules)}"))
+    d = d.withColumn("kept", F.expr(f"NOT base_failed AND {rules_sql(rules)}"))
+    # a filter on these columns stays above a generator; else it would be pushed down below the
+    # projections, with the counts' expressions copied into it many times over
+    return d.select(F.explode(F.array(F.struct(*d.columns))).alias("row_")).select("row_.*")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of documents that pass, with all their columns."""
-    # the row travels in the place of doc_id; a generator drops it, as a filter would be pushed
-    # down below the projections, with the counts' expressions copied into it many times over
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
-    rows = measure(whole, rules).select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row_"))
-    return rows.select(*(F.col("row_").getField(c).alias(c) for c in docs.columns))
+    return measure(whole, rules).where("kept").select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
