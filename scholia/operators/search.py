@@ -6,8 +6,10 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from scholia.functions import scoring
@@ -76,15 +78,28 @@ def _shifts(n: int, slop: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _names(index: Index, column: Column, value: str, slop: int, allow_all: bool) -> Column:
+def phrase_in(tokens: list[str], words: list[str], slop: int) -> bool:
+    """The worker-side twin of phrase_match."""
+    n = len(tokens)
+    return any(all(0 <= i + o < n and tokens[i + o] == w for w, o in zip(words, s)) for s in _shifts(len(words), slop) for i in range(n))
+
+
+def _name_test(index: Index, column: Column, name: str, slop: int) -> Column:
+    words = analyze(name) if index.stemmed else re.findall("[a-z0-9]+", name.lower())
+    if not words:  # a name of stop words only is looked up as it is
+        return F.contains(F.lower(column), F.lit(name.lower()))
+    if not index.stemmed:
+        return phrase_match(plain_tokens(column), words, slop)
+
+    def test(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: phrase_in(analyze(t), words, slop))
+
+    return F.pandas_udf(test, BooleanType())(column)
+
+
+def _names(column: Column, index: Index, value: str, slop: int, allow_all: bool) -> Column:
     names, every = parse_names(value, allow_all)
-    tokens = (analyze_column if index.stemmed else plain_tokens)(column)
-    tests = []
-    for name in names:
-        words = analyze(name) if index.stemmed else re.findall("[a-z0-9]+", name.lower())
-        # a name of stop words only is looked up as it is
-        tests.append(phrase_match(tokens, words, slop) if words else F.contains(F.lower(column), F.lit(name.lower())))
-    return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), tests)
+    return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [_name_test(index, column, n, slop) for n in names])
 
 
 def matching(index: Index, f: Filters, allowed: DataFrame | None = None) -> DataFrame:
@@ -101,9 +116,9 @@ def matching(index: Index, f: Filters, allowed: DataFrame | None = None) -> Data
     if f.exclude_types:
         docs = docs.where(~F.coalesce(F.lower("work_type").isin([t.lower() for t in f.exclude_types]), F.lit(False)))
     if f.author:
-        docs = docs.where(_names(index, F.coalesce("authors", F.lit("")), f.author, 2, True))
+        docs = docs.where(_names(F.coalesce("authors", F.lit("")), index, f.author, 2, True))
     if f.journal:
-        docs = docs.where(_names(index, F.concat_ws(". ", "journal", "publisher"), f.journal, 0, False))
+        docs = docs.where(_names(F.concat_ws(". ", "journal", "publisher"), index, f.journal, 0, False))
     if allowed is not None:
         docs = docs.join(allowed.select(F.col(allowed.columns[0]).alias("article_key")).distinct(), "article_key", "left_semi")
     return docs

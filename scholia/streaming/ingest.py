@@ -17,10 +17,11 @@ def ingest_works(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
     return works_digest(raw).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts and sums by type in tumbling (or sliding) windows; state older than the lateness is dropped. Works on streams and tables."""
+def windowed(events: DataFrame, size: str = "1 day", late: str | None = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums by type in tumbling (or sliding) windows; state older than the lateness is dropped. late is None if the events have a watermark already. Works on streams and tables."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    events = events.withWatermark("ts", late) if late else events
+    return events.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def once_each(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
