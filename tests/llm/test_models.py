@@ -1,0 +1,128 @@
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from scholia.llm import crf, langid, maxent, pii, toxicity
+from scholia.llm.textbytes import buffer
+from scholia.llm.transducers import Transducer, compose
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("piece", [3, 64])
+def test_chains_equal_enumeration(monkeypatch, piece):
+    monkeypatch.setattr(crf, "PIECE", piece)
+    r = np.random.default_rng(0)
+    ptr = np.concatenate([[0], np.cumsum([1, 5, 0, 7, 4, 6])])
+    s, t = r.normal(size=(ptr[-1], 3)) * 2, r.normal(size=(3, 3))
+    m, v = crf.marginals(s, ptr, t), crf.viterbi(s, ptr, t)
+    for a, b in zip(ptr[:-1], ptr[1:]):
+        total, sums, best = 0.0, np.zeros((b - a, 3)), (-1e9, ())
+        for y in itertools.product(range(3), repeat=b - a):
+            e = sum(s[a + i, y[i]] for i in range(b - a)) + sum(t[p, q] for p, q in itertools.pairwise(y))
+            total += math.exp(e)
+            sums[np.arange(b - a), list(y)] += math.exp(e)
+            best = max(best, (e, y))
+        if b > a:
+            assert np.allclose(sums / total, m[a:b], atol=1e-6) and tuple(v[a:b]) == best[1]
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = langid.identify(spark, d).join(d.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(got) == d.count() and (held.lang_pred == held.lang).mean() > 0.95 and got.score.between(0, 1).all()
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in zip(got.doc_id, got.held_out))
+
+
+def test_language_edges(spark):
+    rows = [(1, "the cat and dog", "en"), (2, None, "en"), (3, "", None), (4, "12 34 !!", "en"), (None, "le chat et le chien", "fr"), (5, "un chat noir et le chien " * 3000, "fr"), (5, "x", None)]
+    d = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, lang string, score double")
+    got = langid.identify(spark, d).collect()
+    assert len(got) == 7 and all((r.lang_pred == "und") == (r.score == 0) for r in got) and sum(r.lang_pred == "und" for r in got) == 3
+    bare = langid.identify(spark, d.withColumn("lang", d.lang.substr(9, 1)).where("lang IS NULL")).collect()
+    assert all(r.lang_pred == "und" for r in bare) and langid.identify(spark, d.limit(0)).count() == 0
+
+
+def reference_spans(t):
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m).encode())]
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(1)
+    bits = ["1", "23", "4111 1111 1111 1111", "4111111111111111", "@", "a.b", "-", ".", "é", " ", "+1 (23", "x@y.z", "1.2.3.4", "255.256.1.1", "5", "+49-30-12345678", "\n", "00012.3.4.5.6"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["", "é@a.b", "1" * 5000, "a@" * 2000]
+    data, offs = buffer(pa.array(texts))
+    for t, found in zip(texts, pii.block_spans(pii.model(), data, offs)):
+        assert [s[:3] for s in found if s[3]] == sorted(reference_spans(t))
+
+
+def test_the_field_adds_secrets_and_mask_hides(spark):
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(1, f'écrit token = "{secret}" and a@b.cd.', "x", 3), (2, "nothing to see in 1998, 12,000 times", "x", 4), (3, None, None, None), (3, "", None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+    got = {(r.doc_id, r.spans) for r in pii.find(d).collect()}
+    assert got == {(1, f"email:{rows[0][1].index('a@b')}:{rows[0][1].index('a@b') + 6},secret:15:55"), (2, ""), (3, "")}
+    hidden = {r.doc_id: r for r in pii.mask(d.where("text IS NOT NULL")).collect()}
+    assert hidden[1].text == 'écrit token = "<SECRET>" and <EMAIL>.' and hidden[1].n_chars == len(hidden[1].text) and hidden[2].text == rows[1][1]
+    assert pii.find(d.limit(0)).count() == 0
+
+
+def test_composition():
+    double = Transducer({(0, "a"): (1, None), (1, "a"): (0, "b")})
+    mark = Transducer({(0, "b"): (0, "c")})
+    assert compose(double, mark, {"a", "x"}).run(["a", "x", "a", "a", "a"]) == ["x", "c", "c"]
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [(["insult"], ["insult"]), (["target", "insult"], ["insult+targeted"]), (["insult", "target"], ["insult", "aimed"]), (["negation", "insult"], ["insult+negated"]), (["report", "target", "threat"], ["threat+reported+targeted"]), (["negation", "end", "insult"], ["insult"]), (["target"], [])],
+)
+def test_grammar(words, want):
+    assert toxicity.GRAMMAR.run(words) == want
+
+
+def test_toxicity(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("the of and in with tion".split()) for _ in range(30)) + (" you idiot" if i % 4 == 0 else ""), i % 4 == 0) for i in range(300)]
+    d = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(900, None, 0.0), (901, "", 0.0), (901, "", 0.0), (None, "scum", 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(x)) for i, _, x in rows] + [(7, None), (12345, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(spark, d, labels).collect()}
+    assert all(got[i].predicted == int(x) == int(got[i].score >= 0.5) for i, _, x in rows) and got[900].predicted == 0 and got[None].predicted == 1
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(300))
+    bare = toxicity.score(spark, d.limit(9), labels.limit(0))
+    assert bare.count() == 9 and toxicity.score(spark, d.limit(0), labels).count() == 0
+
+
+def test_language_model_counts(spark):
+    rows = [(i, t) for i, t in enumerate(["A b a", "b c", "", None, "d\te\x0bf A a", "a " * 500] * 5)] + [(None, "zz"), (3, None)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_known int")
+    got = sorted(map(tuple, maxent.score(spark, d, part_rows=6).collect()), key=str)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) + [None]) for i, t in rows]
+    held = lambda i: zlib.crc32(str("null" if i is None else i).encode()) % 7 == 2
+    c = Counter(w for i, ws in toks if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted(((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks), key=str)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 * max(1, abs(b[5])) and a[6] < 0
+    assert maxent.score(spark, d.limit(0)).count() == 0
+
+
+def test_class_probabilities_sum_to_one():
+    ids, cls, ptr = maxent.tokens(*buffer(pa.array(["a b c a", "b"])))
+    w = np.random.default_rng(0).normal(size=(maxent._ROWS, maxent.CLASSES)).astype(np.float32)
+    z = maxent.logits(w, maxent.histories(ids, ptr)).astype(float)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert np.allclose(p.sum(axis=1), 1) and cls[ptr[1] - 1] == maxent.CLASSES - 1 and len(ids) == 7
