@@ -14,12 +14,14 @@ from scholia.functions import scoring, text
 from scholia.functions.analysis import plain_tokens
 from scholia.operators import chunking, evaluation, index, markup, parsing, rerank, search, vectors
 from scholia.plans import relational
+from scholia.session import share_code
 
 QUERY = "the and with thanea tion"
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from scholia.operators import relational as R
 from scholia.operators import retrieval
+from scholia.session import share_code
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
