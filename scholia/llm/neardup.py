@@ -14,11 +14,12 @@ Texts that are equal are one node. A bucket never yields all its pairs: all its
 against one, its pivot - the one that shares most places in buckets, which in a group of
 copies is near its centre. Where nodes of a bucket stay in different components, each node's
 weight that it shares with nodes of other components bounds all its similarities to them;
-nodes whose bound is too low are done. Of the rest, those pairs are compared that agree in two
-bands at least (so do 99.4 of 100 pairs at the line, more beyond it) and that neither these
-bounds nor the distances to the pivot rule out (1 - similarity is a metric). A link is a
-weighted or a plain Jaccard similarity of ``SIMILARITY`` or more, computed from the texts'
-whole shingle lists. Classes are the components of the links.
+nodes whose bound is too low are done. Of the rest, all pairs are compared that neither these
+bounds, nor the distances to the pivot (1 - similarity is a metric), nor the bit maps of their
+shingles (a bit that only one of two maps has is a shingle that the other text lacks) rule out,
+so that no link between the texts of a bucket is lost. A link is a weighted or a plain Jaccard
+similarity of ``SIMILARITY`` or more, computed from the texts' whole shingle lists. Classes are
+the components of the links.
 
 Edge cases: null counts as empty; a text of fewer than SHINGLE words is one shingle; texts
 without words are linked only if they are equal; a null doc_id is carried along and names a
@@ -50,6 +51,8 @@ PIVOT_ROUNDS = 0
 #: Lists of nodes up to so many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _DF_CHUNK = 1 << 12
+#: 64-bit words of the bit map of a node's shingles.
+MAP_WORDS = 32
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +180,8 @@ def _vectors(idf):
             packed = ((h << np.uint64(8)) | levels(h, tf, idf.value).astype(np.uint64)) if len(h) else h
             out += [packed[ptr[i] : ptr[i + 1]].tobytes() for i in range(b - a)]
         w = [float(_WEIGHT[(np.frombuffer(x, np.uint64) & np.uint64(255)).astype(np.int64)].sum()) for x in out]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(w, pa.float64()), pa.array([float(len(x) // 8) for x in out], pa.float64())], ["node", "vec", "w", "n"])
+        maps = pa.array([bit_map(np.frombuffer(x, np.uint64)) for x in out], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(w, pa.float64()), pa.array([float(len(x) // 8) for x in out], pa.float64()), maps], ["node", "vec", "w", "n", "bits"])
 
     return run
 
@@ -185,6 +189,13 @@ def _vectors(idf):
 _WEIGHT = np.exp(STEP * np.arange(256).clip(max=LEVELS))
 
 
+def bit_map(packed: np.ndarray) -> np.ndarray:
+    """A bit for each hash value of the shingles of a packed list, in MAP_WORDS words."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[(mix(packed >> np.uint64(8)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(weighted, plain) Jaccard similarity of two packed shingle lists."""
     ha, hb = a >> np.uint64(8), b >> np.uint64(8)
@@ -225,6 +236,13 @@ def _bound(own: str, all_: str, other: str) -> str:
     return f"({own} / ({all_} + greatest({other} - {own}, 0D)) + 1e-9)"
 
 
+def _lacks(a: str, b: str, own: str, other: str) -> str:
+    """SQL: whether a may have so many shingles (each of weight 1 at least) that b lacks, as their maps show, and be similar to it."""
+    common = SIMILARITY / (1 + SIMILARITY)
+    most = ", ".join(f"{x}{own} - {common} * ({x}{own} + {x}{other})" for x in ("w", "n"))
+    return "(" + " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(MAP_WORDS)) + f") <= greatest({most}) + 1e-6"
+
+
 def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Both similarities of pairs (u, v)."""
     left = pairs.join(vectors.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u")
@@ -255,7 +273,7 @@ def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_
     small = wanted.count() <= broadcast_rows
     w = wanted.select(F.col("node").alias("n_"), F.col("doc_id").alias("d_"))
     texts = nodes.join(F.broadcast(w) if small else w, (F.col("node") == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi").select("node", "text")
-    vectors = map_batches(texts, _vectors(idf), "node binary, vec binary, w double, n double").groupBy("node").agg(F.first(F.struct("vec", "w", "n")).alias("v")).select("node", "v.*")
+    vectors = map_batches(texts, _vectors(idf), "node binary, vec binary, w double, n double, bits array<bigint>").groupBy("node").agg(F.first(F.struct("vec", "w", "n", "bits")).alias("v")).select("node", "v.*")
     vectors = cut(spark, vectors, "vectors")
 
     good = F.greatest("jw", "ju") >= SIMILARITY
@@ -280,11 +298,11 @@ def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_
             pairs = left.join(pivot, ["band", "key"]).where("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
             near = seen.select(F.col("u").alias("pivot"), F.col("v").alias("node"), F.greatest("jw", "ju").alias("j"), F.least("jw", "ju").alias("k"))
-            far = left.join(near, ["pivot", "node"], "left").join(shared, "node").join(one, "node").select("band", "key", "node", "component", "bands", "w", "n", "sw", "sn", F.coalesce(1 - F.col("j"), F.lit(0.0)).alias("lo"), F.coalesce(1 - F.col("k"), F.lit(0.0)).alias("hi"))
-            other = far.select("band", "key", *(F.col(c).alias(f"{c}_") for c in ("node", "component", "bands", "w", "n", "sw", "sn", "lo", "hi")))
+            far = left.join(near, ["pivot", "node"], "left").join(shared, "node").join(one, "node").join(vectors.select("node", "bits"), "node").select("band", "key", "node", "component", "bands", "bits", "w", "n", "sw", "sn", F.coalesce(1 - F.col("j"), F.lit(0.0)).alias("lo"), F.coalesce(1 - F.col("k"), F.lit(0.0)).alias("hi"))
+            other = far.select("band", "key", *(F.col(c).alias(f"{c}_") for c in ("node", "component", "bands", "bits", "w", "n", "sw", "sn", "lo", "hi")))
             apart = 1 - SIMILARITY + 1e-9
             both = [_bound("least(sw, sw_)", "w", "w_"), _bound("least(sn, sn_)", "n", "n_")]
-            pairs = far.join(other, ["band", "key"]).where(f"component < component_ AND lo <= hi_ + {apart} AND lo_ <= hi + {apart} AND greatest({both[0]}, {both[1]}) >= {SIMILARITY} AND size(array_intersect(bands, bands_)) > 1 AND array_intersect(bands, bands_)[0] = key").select(F.col("node").alias("a"), F.col("node_").alias("b"))
+            pairs = far.join(other, ["band", "key"]).where(f"component < component_ AND lo <= hi_ + {apart} AND lo_ <= hi + {apart} AND greatest({both[0]}, {both[1]}) >= {SIMILARITY} AND {_lacks('bits', 'bits_', '', '_')} AND {_lacks('bits_', 'bits', '_', '')} AND array_intersect(bands, bands_)[0] = key").select(F.col("node").alias("a"), F.col("node_").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         pairs = cut(spark, pairs.join(seen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "more")
         if pairs.isEmpty():

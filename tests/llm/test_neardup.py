@@ -98,3 +98,45 @@ def test_components(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert N.classes(spark, d).count() == 0 and N.keep_one(spark, d).count() == 0
+
+
+def around(seed, pairs=12):
+    """A text, and pairs of texts too far from it to be linked, each pair at the line of plain Jaccard."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+
+    def edited(t, places):
+        w = list(t)
+        for i in places:
+            w[i] = word()
+        return w
+
+    centre = [word() for _ in range(94)]
+    rows = [centre]
+    for _ in range(pairs):
+        p = r.sample(range(6, 88, 6), 5)
+        one = edited(centre, p[:3])
+        rows += [one, edited(one, p[3:])]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_pairs_that_share_one_band_are_compared(spark):
+    rows = around(350)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.class_id) for r in N.classes(spark, d).collect()), key=str) == brute(rows)
+
+
+def test_bit_maps_rule_out_no_link(spark):
+    r = random.Random(6)
+    base = [r.randrange(1 << 44) for _ in range(300)]
+    found = set()
+    for k in range(0, 80, 2):
+        a, b = (np.unique(np.array(base[: 300 - k] + [r.randrange(1 << 44) for _ in range(m)], np.uint64)) for m in (k // 3, k // 4))
+        a, b = ((x << np.uint64(8)) | np.array([r.randrange(3) for _ in x], np.uint64) for x in (a, b))
+        w = [float(N._WEIGHT[(x & np.uint64(255)).astype(np.int64)].sum()) for x in (a, b)]
+        row = [N.bit_map(a).tolist(), N.bit_map(b).tolist(), *w, float(len(a)), float(len(b))]
+        t = spark.createDataFrame([row], "bits array<long>, bits_ array<long>, w double, w_ double, n double, n_ double")
+        may = t.selectExpr(f"{N._lacks('bits', 'bits_', '', '_')} AND {N._lacks('bits_', 'bits', '_', '')} AS x").first().x
+        assert may or max(N.similarity(a, b)) < N.SIMILARITY
+        found.add((may, max(N.similarity(a, b)) >= N.SIMILARITY))
+    assert (True, True) in found
