@@ -136,7 +136,7 @@ def bm25f_dismax(spark: SparkSession, d: str) -> DataFrame:
 def explain_terms(spark: SparkSession, d: str) -> DataFrame:
     """What scores are made of: one row per query word, field and document."""
     ix, q = _fielded(spark, d)
-    return search.breakdown(ix, q).where(F.col("id") < 100).select("field", "term", F.col("id").alias("doc_id"), "place", "tf", F.round("score", 6).alias("score"))
+    return search.breakdown(ix, q).select("field", "term", F.col("id").alias("doc_id"), "place", "tf", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_QT_ONE}, {_BM25}, b AS (SELECT doc_id, CASE WHEN n_chars > 0 THEN score * (1 + 2.0 * least(1.0, log10(1 + n_chars) / 5.5)) ELSE score END AS score FROM sc JOIN documents USING (doc_id)) SELECT doc_id, {_R} AS score FROM b ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
