@@ -96,8 +96,8 @@ def _fit_task(batches):
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Crf | None:
     """Fit on a bounded sample of labelled training rows, in a task; only the weights come back."""
-    rows = thinned(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", sample_rows).where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(sample_rows).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = thinned(rows, "doc_id", sample_rows).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(sample_rows).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = rows.repartition(1).mapInPandas(_fit_task, "model binary").collect()
     return pickle.loads(got[0].model) if got else None
 
