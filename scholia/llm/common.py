@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set here only where it is unset (one machine)."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; only a master on one machine may do without that setting. The folder is deleted when the driver's process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "scholia-shared")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_made)
+    _made[path] = spark
+    return path
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder made by shared_dir()."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
+
+
+def remove_made() -> None:
+    """Delete all folders that shared_dir() has made, which no result is read from any more; where the JVM is gone they stay."""
+    for path, spark in list(_made.items()):
+        try:
+            remove_dir(spark, path)
+        except Exception:  # the process is ending, and there is no one left to tell
+            return
 
 
 def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
@@ -51,6 +73,35 @@ def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this are dealt over several tasks.
+HOT_ROWS = 10_000
+#: At most so many keys are dealt so, which bounds the broadcast of them.
+MOST_HOT = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left with the one row that right has for each key. A key that holds many rows of left is dealt over tasks by a salt, and its row of right repeated for each; left is read twice, so it should lie in a table."""
+    sizes = left.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > hot_rows)
+    top = [r.n_ for r in sizes.orderBy(F.desc("n_")).limit(MOST_HOT + 1).select("n_").collect()]
+    if not top:
+        return left.join(right, key, how)
+    least = max(hot_rows, top[MOST_HOT] if len(top) > MOST_HOT else 0)
+    hot = F.broadcast(sizes.where(F.col("n_") > least).select(key, F.ceil(F.col("n_") / least).cast("int").alias("pieces_")))
+    dealt = left.join(hot, key, "left").withColumn("salt_", F.when(F.col("pieces_").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(f"`{c}`" for c in left.columns)), "pieces_")).cast("int")).drop("pieces_")
+    again = right.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("pieces_", F.lit(1)) - 1))).drop("pieces_")
+    return dealt.join(again, [key, "salt_"], how).drop("salt_")
+
+
+def tree_sum(parts: DataFrame, kind: type = np.float64) -> np.ndarray | None:
+    """Sum of the packed arrays (binary, one column, of one length and kind) of all rows, added in a tree of tasks, so that no task and not the driver holds more than a few; None without rows."""
+    ready(parts.sparkSession)
+
+    def add(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a + b
+
+    return parts.rdd.treeAggregate(None, lambda a, row: add(a, np.frombuffer(row[0], kind)), add, depth=3)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over Arrow batches; it never sees more than one batch."""
     ready(df.sparkSession)

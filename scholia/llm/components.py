@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut
+from scholia.llm.common import cut, spread_join
 
 
 #: Up to so many edges (32 bytes each) one task joins sets; more of them go through the stars.
@@ -41,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 50, local_edges: int = LOCAL
 
     Each round a node's larger neighbours, then its smaller ones, move to its least neighbour
     (large star, small star). Minima are partial sums, and no node's neighbours are gathered,
-    so a node of many edges is no hot spot but in a join, whose large side Spark can split.
+    and the joins deal a node of many edges over several tasks.
     """
     spark = edges.sparkSession
     e = cut(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -52,11 +52,12 @@ def components(edges: DataFrame, most_rounds: int = 50, local_edges: int = LOCAL
     for _ in range(most_rounds):
         if not last[0]:
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = cut(spark, e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(spark, large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = spread_join(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = cut(spark, small.where("u <> v").distinct(), "edges")
         now = _mark(e)
         if now == last:

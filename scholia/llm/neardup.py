@@ -1,30 +1,35 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its distinct runs of ``SHINGLE`` words; a shingle's weight is
-(1 + ln tf) * idf, rounded to a grid. The idf lies between 1 and ``1 + IDF_SPREAD``: document
-frequencies come from the whole corpus, in ``2**DF_BITS`` hashed counters (a table of fixed
-size), and the spread is kept small because a large group of copies makes its own shingles
-common, which a full idf would take for a reason to tell the copies apart.
+(1 + ln tf) * idf, rounded to a grid, with idf = 1 + IDF_SPREAD * ln(N / df) / ln N: 1 for a
+shingle of every document, 1 + IDF_SPREAD for that of one. Document frequencies come from the
+whole corpus, in ``2**DF_BITS`` hashed counters (a table of fixed size). The logarithm is
+normalised because a large group of copies makes its own shingles common: with 1 + ln(N / df)
+the words that its members changed would outweigh all that they share.
 
 Each of ``BANDS * ROWS`` samples keeps the shingle with the least value of Ioffe's improved
 consistent weighted sampling (two texts agree in a sample with the probability of their
-weighted Jaccard similarity). Texts that agree in all samples of a band share a bucket.
-
-Texts that are equal are one node. A bucket never yields all its pairs: all its nodes are held
-against one, its pivot - the one that shares most places in buckets, which in a group of
-copies is near its centre. Where nodes of a bucket stay in different components, each node's
-weight that it shares with nodes of other components bounds all its similarities to them;
-nodes whose bound is too low are done. Of the rest, all pairs are compared that neither these
-bounds, nor the distances to the pivot (1 - similarity is a metric), nor the bit maps of their
-shingles (a bit that only one of two maps has is a shingle that the other text lacks) rule out,
-so that no link between the texts of a bucket is lost. A link is a weighted or a plain Jaccard
-similarity of ``SIMILARITY`` or more, computed from the texts' whole shingle lists. Classes are
-the components of the links.
+weighted Jaccard similarity). Texts that agree in all samples of a band share a bucket; at a
+similarity of 0.8 all bands miss a pair once in 1,500.
+
+Texts that are equal are one node. A link is a weighted Jaccard similarity of ``SIMILARITY`` or
+more, computed from the texts' whole shingle lists; classes are the components of the links. A
+bucket never yields its pairs at once: all its nodes are held against one, its pivot - the one
+that shares most places in buckets, which in a group of copies is near its centre. Where nodes
+of a bucket stay in different components, each node's weight that it shares with nodes of
+other components bounds all its similarities to them; nodes whose bound is too low are done.
+The rest go through rounds. In each, some nodes of every open bucket (more from round to round)
+become pivots, the others are held against them unless exact bounds rule a link out - the
+shared weights, and bit maps of the shingles: a bit that only one of two maps has is a shingle
+that the other text lacks - and the pivots leave the bucket. Rounds go on until no bucket has
+nodes of two components, so no link between the texts of a bucket is lost.
 
 Edge cases: null counts as empty; a text of fewer than SHINGLE words is one shingle; texts
-without words are linked only if they are equal; a null doc_id is carried along and names a
-class only if the class has no other; repeated rows are one node; an empty table gives no
-rows; other columns are ignored by ``classes`` and kept by ``keep_one``, whatever their names.
+without words are linked only if they are equal; a text of any length is sketched and compared
+whole (a batch holds it in memory); of equal similarities none is preferred, as every link of
+0.8 or more counts; a null doc_id is carried along and names a class only if the class has no
+other; repeated rows are one node; an empty table gives no rows; other columns are ignored by
+``classes`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,21 +41,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, map_batches
-from scholia.llm.components import components
+from scholia.llm.common import cut, map_batches, spread_join, tree_sum
+from scholia.llm.components import LOCAL_EDGES, components
 from scholia.llm.textbytes import ALNUM, blocks, buffer, mix, windows, words
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
 DF_BITS = 20
-IDF_SPREAD = 0.25
-LEVELS, STEP = 24, 0.125
+IDF_SPREAD = 1.0
+LEVELS, STEP = 32, 0.125
 BLOCK_BYTES = 1 << 20
-PIVOT_ROUNDS = 0
+#: Pivots of an open bucket in its first round, and how many times more in each that follows.
+PIVOTS, PIVOT_GROWTH = 4, 8
 #: Lists of nodes up to so many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
-_DF_CHUNK = 1 << 12
+#: Buckets of more rows are dealt over several tasks.
+HOT_BUCKET = 2000
 #: 64-bit words of the bit map of a node's shingles.
 MAP_WORDS = 32
 
@@ -129,29 +136,18 @@ def _frequencies(spark: SparkSession, nodes: DataFrame) -> np.ndarray:
     """ln idf of the hashed counters, from all documents."""
 
     def count(batches):
-        df, n = np.zeros(1 << DF_BITS, np.int64), 0
+        df = np.zeros((1 << DF_BITS) + 1, np.uint64)  # the last one counts documents
         for batch in batches:
             data, offs = buffer(batch.column(0))
             for a, b in blocks(offs, BLOCK_BYTES):
                 _, h, _ = shingle_sets(data, offs[a : b + 1])
-                df += np.bincount((h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), minlength=1 << DF_BITS)
-            n += batch.num_rows
-        if n:
-            parts = [df[i : i + _DF_CHUNK].astype(np.uint32).tobytes() for i in range(0, 1 << DF_BITS, _DF_CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * len(parts), pa.int64())], ["chunk", "df", "n"])
+                df[:-1] += np.bincount((h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), minlength=1 << DF_BITS).astype(np.uint64)
+            df[-1] += np.uint64(batch.num_rows)
+        if df[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["df"])
 
-    def add(key, pdf):
-        import pandas as pd
-
-        total = np.sum([np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["df"]], axis=0, dtype=np.uint64)
-        return pd.DataFrame({"chunk": [key[0]], "df": [total.tobytes()], "n": [int(pdf["n"].sum())]})
-
-    # a table of fixed size: 2**DF_BITS counters
-    rows = nodes.select("text").mapInArrow(count, "chunk int, df binary, n long").groupBy("chunk").applyInPandas(add, "chunk int, df binary, n long").collect()
-    if not rows:
-        return np.zeros(1 << DF_BITS, np.float32)
-    df = np.concatenate([np.frombuffer(r.df, np.uint64) for r in sorted(rows, key=lambda r: r.chunk)])
-    return idf_levels(df.astype(np.float64), rows[0].n)
+    df = tree_sum(nodes.select("text").mapInArrow(count, "df binary"), np.uint64)
+    return np.zeros(1 << DF_BITS, np.float32) if df is None else idf_levels(df[:-1].astype(np.float64), int(df[-1]))
 
 
 def _sketches(idf):
@@ -181,7 +177,7 @@ def _vectors(idf):
             out += [packed[ptr[i] : ptr[i + 1]].tobytes() for i in range(b - a)]
         w = [float(_WEIGHT[(np.frombuffer(x, np.uint64) & np.uint64(255)).astype(np.int64)].sum()) for x in out]
         maps = pa.array([bit_map(np.frombuffer(x, np.uint64)) for x in out], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(w, pa.float64()), pa.array([float(len(x) // 8) for x in out], pa.float64()), maps], ["node", "vec", "w", "n", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(w, pa.float64()), maps], ["node", "vec", "w", "bits"])
 
     return run
 
@@ -196,21 +192,20 @@ def bit_map(packed: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(weighted, plain) Jaccard similarity of two packed shingle lists."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two packed shingle lists."""
     ha, hb = a >> np.uint64(8), b >> np.uint64(8)
     wa, wb = _WEIGHT[(a & np.uint64(255)).astype(np.int64)], _WEIGHT[(b & np.uint64(255)).astype(np.int64)]
     at = np.searchsorted(hb, ha)
     at[at == len(hb)] = 0
     both = hb[at] == ha if len(hb) else np.zeros(len(ha), bool)
-    n = int(both.sum())
     m = float(np.minimum(wa[both], wb[at[both]]).sum())
-    return m / (wa.sum() + wb.sum() - m), n / (len(ha) + len(hb) - n)
+    return m / (wa.sum() + wb.sum() - m)
 
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     pairs = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64())], ["u", "v", "jw", "ju"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, pa.float64())], ["u", "v", "j"])
 
 
 def _entries(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -223,12 +218,12 @@ def _entries(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _shared(left: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Weight and number (sw, sn) of each open node's shingles that stand in a node of another component; w and n of all its shingles."""
+    """Weight (sw) of each open node's shingles that stand in a node of another component, and of all its shingles (w)."""
     nodes = left.select("node", "component").distinct().join(vectors, "node").withColumn("nid", F.xxhash64("node")).withColumn("cid", F.xxhash64("component"))
     rows = map_batches(nodes.select("nid", "cid", "vec"), _entries, "h long, level byte, nid long, cid long")
     both = rows.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("h")
-    sums = rows.join(both, "h").groupBy("nid").agg(F.sum(F.exp(F.col("level") * STEP)).alias("sw"), F.count("*").cast("double").alias("sn"))
-    return nodes.select("node", "nid", "w", "n").join(sums, "nid", "left").select("node", "w", "n", F.coalesce("sw", F.lit(0.0)).alias("sw"), F.coalesce("sn", F.lit(0.0)).alias("sn"))
+    sums = rows.join(both, "h").groupBy("nid").agg(F.sum(F.exp(F.col("level") * STEP)).alias("sw"))
+    return nodes.select("node", "nid", "w", "bits").join(sums, "nid", "left").select("node", "w", "bits", F.coalesce("sw", F.lit(0.0)).alias("sw"))
 
 
 def _bound(own: str, all_: str, other: str) -> str:
@@ -239,111 +234,118 @@ def _bound(own: str, all_: str, other: str) -> str:
 def _lacks(a: str, b: str, own: str, other: str) -> str:
     """SQL: whether a may have so many shingles (each of weight 1 at least) that b lacks, as their maps show, and be similar to it."""
     common = SIMILARITY / (1 + SIMILARITY)
-    most = ", ".join(f"{x}{own} - {common} * ({x}{own} + {x}{other})" for x in ("w", "n"))
-    return "(" + " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(MAP_WORDS)) + f") <= greatest({most}) + 1e-6"
+    return "(" + " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(MAP_WORDS)) + f") <= w{own} - {common} * (w{own} + w{other}) + 1e-6"
 
 
-def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Both similarities of pairs (u, v)."""
-    left = pairs.join(vectors.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u")
-    both = left.join(vectors.select(F.col("node").alias("v"), F.col("vec").alias("y")), "v").select("u", "v", "x", "y")
-    return map_batches(both, _verify, "u binary, v binary, jw double, ju double")
+def _compared(spark: SparkSession, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The similarity of pairs (u, v), which lie in a table."""
+    left = cut(spark, spread_join(pairs, vectors.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u"), "sides")
+    both = spread_join(left, vectors.select(F.col("node").alias("v"), F.col("vec").alias("y")), "v").select("u", "v", "x", "y")
+    return cut(spark, map_batches(both, _verify, "u binary, v binary, j double"), "pairs")
 
 
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     split = rows.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
-    return rows.join(split, ["band", "key"])
+    return rows.join(split, ["band", "key"], "left_semi")
+
 
+def _buckets(spark: SparkSession, one: DataFrame) -> DataFrame:
+    """(band, key, node, pivot) of all buckets with more than one node. The rows of a large bucket meet their pivot in several tasks."""
+    member = one.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = cut(spark, member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    # at most 100,000 buckets can be so large, which bounds the broadcast
+    hot = max(HOT_BUCKET, (sizes.agg(F.sum("size")).first()[0] or 0) // 100_000)
+    pieces = F.ceil(F.col("size") / hot).cast("int")
+    large = F.broadcast(sizes.where(F.col("size") > hot).select("band", "key", pieces.alias("pieces")))
+    dealt = member.join(large, ["band", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    again = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    member = cut(spark, dealt.join(again, ["band", "key", "salt"]), "members")
+    central = member.join(member.groupBy("node").agg(F.sum("size").alias("places")), "node")
+    pivot = central.groupBy("band", "key", "salt").agg(F.max(F.struct("places", "node")).alias("p")).groupBy("band", "key").agg(F.max("p").alias("p"))
+    return cut(spark, member.drop("size").join(pivot.join(again.drop("size"), ["band", "key"]), ["band", "key", "salt"]).select("band", "key", "node", F.col("p.node").alias("pivot")), "buckets")
 
-def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, pivot_rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their node, components of linked nodes, all compared pairs with similarities)."""
+
+def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their node, components of linked nodes, all compared pairs with their similarity)."""
     nodes = _nodes(docs)
     idf = spark.sparkContext.broadcast(_frequencies(spark, nodes))
     sig = cut(spark, map_batches(nodes, _sketches(idf), "node binary, doc_id long, bands array<bigint>"), "sketches")
-    one = sig.groupBy("node").agg(F.first("bands").alias("bands"))
-    member = one.select("node", F.posexplode("bands").alias("band", "key"))
-    bucket = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    member = cut(spark, member.join(bucket, ["band", "key"]), "members")
-    central = member.join(member.groupBy("node").agg(F.sum("size").alias("places")), "node")
-    bucket = central.groupBy("band", "key").agg(F.max_by("node", F.struct("places", "node")).alias("pivot"))
-    member = cut(spark, member.drop("size").join(bucket, ["band", "key"]), "buckets")
+    member = _buckets(spark, sig.groupBy("node").agg(F.first("bands").alias("bands")))
 
     wanted = cut(spark, member.select("node").distinct().join(sig.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "wanted")
     small = wanted.count() <= broadcast_rows
     w = wanted.select(F.col("node").alias("n_"), F.col("doc_id").alias("d_"))
     texts = nodes.join(F.broadcast(w) if small else w, (F.col("node") == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi").select("node", "text")
-    vectors = map_batches(texts, _vectors(idf), "node binary, vec binary, w double, n double, bits array<bigint>").groupBy("node").agg(F.first(F.struct("vec", "w", "n", "bits")).alias("v")).select("node", "v.*")
+    vectors = map_batches(texts, _vectors(idf), "node binary, vec binary, w double, bits array<bigint>").groupBy("node").agg(F.first(F.struct("vec", "w", "bits")).alias("v")).select("node", "v.*")
     vectors = cut(spark, vectors, "vectors")
 
-    good = F.greatest("jw", "ju") >= SIMILARITY
-    pairs = member.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    seen = cut(spark, _compared(pairs, vectors), "pairs")
-    comp = components(seen.where(good).select("u", "v"))
-    shared = None
-    for k in range(pivot_rounds + 1):
-        # buckets whose nodes are not yet of one component
-        named = (member if shared is None else left).select("band", "key", "node", "pivot").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        left = _open(named)
-        if shared is None:
-            shared = cut(spark, _shared(left, vectors), "shared")
-            left = left.join(shared, "node")
-            least = left.groupBy("band", "key").agg(F.min("w").alias("w0"), F.min("n").alias("n0"))
-            # a node that shares too little with other components is done, whatever stands in its bucket
-            left = left.join(least, ["band", "key"]).where(f"greatest({_bound('sw', 'w', 'w0')}, {_bound('sn', 'n', 'n0')}) >= {SIMILARITY}")
-            left = _open(left.select("band", "key", "node", "pivot", "component"))
-        left = cut(spark, left, "open")
-        if k < pivot_rounds:
-            pivot = left.groupBy("band", "key").agg(F.max_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("p"))
-            pairs = left.join(pivot, ["band", "key"]).where("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        else:
-            near = seen.select(F.col("u").alias("pivot"), F.col("v").alias("node"), F.greatest("jw", "ju").alias("j"), F.least("jw", "ju").alias("k"))
-            far = left.join(near, ["pivot", "node"], "left").join(shared, "node").join(one, "node").join(vectors.select("node", "bits"), "node").select("band", "key", "node", "component", "bands", "bits", "w", "n", "sw", "sn", F.coalesce(1 - F.col("j"), F.lit(0.0)).alias("lo"), F.coalesce(1 - F.col("k"), F.lit(0.0)).alias("hi"))
-            other = far.select("band", "key", *(F.col(c).alias(f"{c}_") for c in ("node", "component", "bands", "bits", "w", "n", "sw", "sn", "lo", "hi")))
-            apart = 1 - SIMILARITY + 1e-9
-            both = [_bound("least(sw, sw_)", "w", "w_"), _bound("least(sn, sn_)", "n", "n_")]
-            pairs = far.join(other, ["band", "key"]).where(f"component < component_ AND lo <= hi_ + {apart} AND lo_ <= hi + {apart} AND greatest({both[0]}, {both[1]}) >= {SIMILARITY} AND {_lacks('bits', 'bits_', '', '_')} AND {_lacks('bits_', 'bits', '_', '')} AND array_intersect(bands, bands_)[0] = key").select(F.col("node").alias("a"), F.col("node_").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        pairs = cut(spark, pairs.join(seen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "more")
-        if pairs.isEmpty():
-            if k < pivot_rounds:
-                continue
-            break
-        more = cut(spark, _compared(pairs, vectors), "pairs")
-        seen = seen.unionByName(more)
-        if not more.where(good).isEmpty():
-            comp = components(seen.where(good).select("u", "v"))
-    return sig.select("node", "doc_id"), comp, seen
-
-
-def classes(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), kept (whether it is that one)."""
-    own, comp, _ = links(spark, docs, broadcast_rows)
-    return _named(own, comp).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    good = F.col("j") >= SIMILARITY
+    pair = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    first = cut(spark, member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).select(*pair).distinct(), "candidates")
+    seen = _compared(spark, first, vectors)
+    comp = components(seen.where(good).select("u", "v"), local_edges=local_edges)
+
+    def named(rows: DataFrame) -> DataFrame:
+        return _open(rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    rows = named(member.select("band", "key", "node"))
+    rows = rows.join(cut(spark, _shared(rows, vectors), "shared"), "node")
+    # a node that shares too little with other components is done, whatever stands in its bucket
+    least = rows.groupBy("band", "key").agg(F.min("w").alias("w0"))
+    rows = rows.join(least, ["band", "key"]).where(f"{_bound('sw', 'w', 'w0')} >= {SIMILARITY}").drop("w0")
+    rows = cut(spark, _open(rows), "open")
+    count = PIVOTS
+    while not rows.isEmpty():
+        chosen = rows.groupBy("band", "key", F.pmod(F.xxhash64("node", F.lit(count)), F.lit(count)).alias("k")).agg(F.max_by(F.struct("node", "component", "w", "sw", "bits"), F.xxhash64("node")).alias("p"))
+        chosen = cut(spark, chosen.select("band", "key", *(F.col(f"p.{c}").alias(f"{c}_") for c in ("node", "component", "w", "sw", "bits"))), "pivots")
+        may = f"component <> component_ AND {_bound('least(sw, sw_)', 'w', 'w_')} >= {SIMILARITY} AND {_lacks('bits', 'bits_', '', '_')} AND {_lacks('bits_', 'bits', '_', '')}"
+        pairs = rows.join(chosen, ["band", "key"]).where(may).select(F.col("node").alias("a"), F.col("node_").alias("b")).select(*pair).distinct()
+        pairs = cut(spark, pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti"), "candidates")
+        rows = rows.join(chosen.select("band", "key", F.col("node_").alias("node")), ["band", "key", "node"], "left_anti")
+        if not pairs.isEmpty():
+            more = _compared(spark, pairs, vectors)
+            seen = seen.unionByName(more)
+            if not more.where(good).isEmpty():
+                comp = components(seen.where(good).select("u", "v"), local_edges=local_edges)
+                rows = named(rows.drop("component"))
+        rows = cut(spark, _open(rows), "open")
+        count *= PIVOT_GROWTH
+    return sig.select("node", "doc_id"), comp, seen.where(good)
+
+
+def classes(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), kept (whether it is that one), n_links (verified links of its text to other texts; those that its class does not need are not all verified)."""
+    own, comp, seen = links(spark, docs, broadcast_rows, local_edges)
+    ends = seen.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = _named(own, comp).join(ends, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    rows = spread_join(own, cut(spark, named, "classes"), "node")
+    return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
 
 
 def _named(own: DataFrame, comp: DataFrame) -> DataFrame:
-    """node, doc_id, class_id, keeper (the one node of the class that stays) of each document."""
+    """node, class_id, keeper (the one node of the class that stays) of each node."""
     first = own.groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("first").alias("class_id"), F.min_by("node", F.struct(F.col("first").isNull(), "first", "node")).alias("keeper"))
-    return own.join(named.join(best, "component").select("node", "class_id", "keeper"), "node")
+    return named.join(best, "component").select("node", "class_id", "keeper")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents without all but one of each class, with all their columns."""
     own, comp, _ = links(spark, docs, broadcast_rows)
-    named = cut(spark, _named(own, comp), "classes")
+    named = cut(spark, spread_join(own, cut(spark, _named(own, comp), "classes"), "node"), "members")
     stays = (F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     gone = named.where(~stays).select(F.col("node").alias("n_"), F.col("doc_id").alias("d_")).distinct()
     again = named.where(stays).groupBy("node", "doc_id").agg(F.count("*").alias("k_")).where("k_ > 1").select(F.col("node").alias("n_"), F.col("doc_id").alias("d_"))
     drop = cut(spark, gone.withColumn("again_", F.lit(False)).unionByName(again.withColumn("again_", F.lit(True))), "gone")
-    n = drop.count()
-    hint = F.broadcast if n <= broadcast_rows else (lambda x: x)
+    hint = F.broadcast if drop.count() <= broadcast_rows else (lambda x: x)
+    # whole rows travel in one column, so that no name of theirs can meet one of these
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = (F.unhex(F.md5(text.cast("binary"))) == F.col("n_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_"))
-    kept = docs.join(hint(drop), key, "left_anti")
-    if drop.where("again_").isEmpty():
-        return kept
-    repeated = docs.join(hint(drop.where("again_")), key).groupBy("n_", "d_").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row_"))
-    return kept.unionByName(repeated.select(*(F.col("row_").getField(c).alias(c) for c in docs.columns)))
+    rows = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    key = (F.col("node") == F.col("n_")) & F.col("id").eqNullSafe(F.col("d_"))
+    kept = rows.join(hint(drop), key, "left_anti").select("row")
+    if not drop.where("again_").isEmpty():
+        repeated = rows.join(hint(drop.where("again_")), key).groupBy("n_", "d_").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(repeated.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
