@@ -50,7 +50,8 @@ def marginals(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndar
         step = (prod[:k].reshape(-1, labels) @ a).reshape(k, labels, labels) * x[first[:k] + t][:, None, :]
         prod[:k] = step / step.sum(axis=(1, 2), keepdims=True)
     most = int(num.max()) + 1
-    by_num = [np.flatnonzero(num == j) for j in range(most)] if most > 1 else [np.arange(len(first))]
+    in_order = np.argsort(num, kind="stable")
+    by_num = np.split(in_order, np.searchsorted(num[in_order], np.arange(1, most)))
     chain = np.empty(len(first), np.int64)
     chain[:] = np.searchsorted(ptr, first, "right") - 1
     into = np.full((len(first), labels), 1 / labels)
@@ -82,16 +83,53 @@ def marginals(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndar
     return _norm(alpha)
 
 
-def viterbi(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best labels of each chain, all chains in step."""
+def expectations(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities of each position, expected number of each pair of neighbouring labels), exact, all chains in step; for training, where chains are short."""
     n, labels = scores.shape
-    best = np.zeros(n, np.int8)
+    x = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-200
+    a = np.exp(trans.astype(np.float64) - trans.max())
     size = np.diff(ptr)
     order = np.argsort(-size, kind="stable")
     first, size = ptr[:-1][order], size[order]
-    if not n:
-        return best
-    back = np.zeros((n, labels), np.int8)
+    live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) if len(size) else 0)]
+    alpha, beta = np.empty((n, labels)), np.empty((n, labels))
+    cur = np.ones((len(first), labels))
+    for t, k in enumerate(live):
+        at = first[:k] + t
+        cur[:k] = _norm((cur[:k] @ a if t else 1.0) * x[at])
+        alpha[at] = cur[:k]
+    cur = np.ones((len(first), labels))
+    for t in range(len(live) - 1, -1, -1):
+        k = live[t]
+        at = first[:k] + t
+        beta[at] = cur[:k]
+        cur[:k] = _norm((cur[:k] * x[at]) @ a.T)
+    inner = np.ones(n, bool)
+    inner[ptr[:-1][np.diff(ptr) > 0]] = False
+    b = np.flatnonzero(inner)
+    left, right = alpha[b - 1], x[b] * beta[b]
+    total = ((left @ a) * right).sum(axis=1, keepdims=True)
+    return _norm(alpha * beta), ((left / total).T @ right) * a
+
+
+def viterbi(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best labels of each chain: all chains in step, long ones by pieces, whose best ways from each label to each are joined at the cuts."""
+    best = np.zeros(len(scores), np.int8)
+    size = np.diff(ptr)
+    long = size > 4 * PIECE
+    _in_step(scores, ptr[:-1][~long], size[~long], trans, best)
+    for i in np.flatnonzero(long).tolist():
+        _by_pieces(scores[ptr[i] : ptr[i + 1]], trans, best[ptr[i] : ptr[i + 1]])
+    return best
+
+
+def _in_step(scores: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray, best: np.ndarray) -> None:
+    labels = scores.shape[1]
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    if not len(size) or not size[0]:
+        return
+    back = np.zeros((len(scores), labels), np.int8)
     cur = np.zeros((len(first), labels))
     for t in range(int(size[0])):
         k = int(np.searchsorted(-size, -t, "left"))
@@ -110,7 +148,55 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndarra
         best[at] = lab[:k]
         if t:
             lab[:k] = back[at, lab[:k]]
-    return best
+
+
+def _by_pieces(scores: np.ndarray, trans: np.ndarray, best: np.ndarray) -> None:
+    """One long chain: pieces of like length in step, from every label that may stand before a piece."""
+    n, labels = scores.shape
+    width = int(np.ceil(np.sqrt(n)))
+    first = np.arange(0, n, width)
+    size = np.minimum(width, n - first)
+    back = np.zeros((n, labels, labels), np.int8)  # position, label before the piece, label
+    cur = trans[None] + scores[first][:, None, :]
+    cur[0] = scores[0]
+    for t in range(1, width):
+        k = len(first) if t < size[-1] else len(first) - 1
+        at = first[:k] + t
+        step = cur[:k, :, :, None] + trans
+        back[at] = step.argmax(axis=2)
+        cur[:k] = step.max(axis=2) + scores[at][:, None, :]
+    value, into = cur[0, 0], np.zeros((len(first), labels), np.int8)
+    for p in range(1, len(first)):
+        way = value[:, None] + cur[p]
+        into[p] = way.argmax(axis=0)
+        value = way.max(axis=0)
+    last, before = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    last[-1] = int(value.argmax())
+    for p in range(len(first) - 1, 0, -1):
+        before[p] = last[p - 1] = into[p, last[p]]
+    lab = last.copy()
+    for t in range(width - 1, -1, -1):
+        k = len(first) if t < size[-1] else len(first) - 1
+        at = first[:k] + t
+        best[at] = lab[:k]
+        if t:
+            lab[:k] = back[at, before[:k], lab[:k]]
+
+
+class Ragged:
+    """Feature numbers of rows of different length."""
+
+    def __init__(self, ptr: np.ndarray, idx: np.ndarray):
+        self.ptr, self.idx = ptr, idx
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature numbers of the rows, one after another; how many each has)."""
+        size = self.ptr[rows + 1] - self.ptr[rows]
+        end = np.cumsum(size)
+        return self.idx[np.repeat(self.ptr[rows] - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
 
 
 @dataclass
@@ -121,23 +207,35 @@ class Crf:
     bits: int
     weights: np.ndarray = field(default=None)
     trans: np.ndarray = field(default=None)
+    squares: tuple = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         k = len(self.labels)
         if self.weights is None:
             self.weights, self.trans = np.zeros((1 << self.bits, k), np.float32), np.zeros((k, k), np.float32)
 
-    def scores(self, feats: np.ndarray) -> np.ndarray:
-        """Scores of positions (or of distinct words) with a row of feature numbers each."""
+    def scores(self, feats: np.ndarray | Ragged) -> np.ndarray:
+        """Scores of rows of feature numbers (of positions or of distinct words)."""
+        if isinstance(feats, Ragged):
+            out = np.zeros((len(feats), len(self.labels)))
+            has = np.flatnonzero(np.diff(feats.ptr))
+            if len(has):
+                out[has] = np.add.reduceat(self.weights[feats.idx], feats.ptr[has], axis=0, dtype=np.float64)
+            return out
         out = self.weights[feats[:, 0]].astype(np.float64)
         for j in range(1, feats.shape[1]):
             out += self.weights[feats[:, j]]
         return out
 
-    def train(self, feats: np.ndarray, gold: np.ndarray, ptr: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.3, decay: float = 1e-4) -> None:
-        """Gradient steps (AdaGrad) on the chains' log-likelihood, in batches of chains."""
+    def train(self, feats: np.ndarray | Ragged, gold: np.ndarray, ptr: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.3, decay: float = 1e-4, row: np.ndarray | None = None) -> None:
+        """Gradient steps (AdaGrad, whose state goes on over calls) on the chains' log-likelihood, in batches of chains. row: each position's row of feats, if it is not its own."""
         k, rows = len(self.labels), 1 << self.bits
-        gw, gt = np.full((rows, k), 1e-3, np.float32), np.full((k, k), 1e-3, np.float32)
+        if isinstance(feats, np.ndarray):
+            feats = Ragged(np.arange(len(feats) + 1) * feats.shape[1], feats.ravel())
+        row = np.arange(len(gold)) if row is None else row
+        if self.squares is None:
+            self.squares = np.full((rows, k), 1e-3, np.float32), np.full((k, k), 1e-3, np.float32)
+        gw, gt = self.squares
         rng = np.random.default_rng(7)
         chains = np.flatnonzero(np.diff(ptr))
         for _ in range(epochs):
@@ -147,13 +245,17 @@ class Crf:
                 size = ptr[own + 1] - ptr[own]
                 p = np.concatenate([[0], np.cumsum(size)])
                 at = np.repeat(ptr[own] - p[:-1], size) + np.arange(p[-1])
-                f, y = feats[at], gold[at]
-                m = marginals(self.scores(f), p, self.trans)
-                d = m.copy()
+                y = gold[at]
+                used, back = np.unique(row[at], return_inverse=True)
+                idx, many = feats.take(used)
+                s = self.scores(Ragged(np.concatenate([[0], np.cumsum(many)]), idx))[back]
+                d, pairs = expectations(s, p, self.trans)
                 d[np.arange(len(y)), y] -= 1
-                flat = f.ravel()
-                uniq, inv = np.unique(flat, return_inverse=True)
-                g = np.stack([np.bincount(inv, np.repeat(d[:, c], f.shape[1]), minlength=len(uniq)) for c in range(k)], axis=1) / len(own)
+                # gradient of each distinct row, then of each feature
+                dr = np.stack([np.bincount(back, d[:, c], minlength=len(used)) for c in range(k)], axis=1)
+                uniq, inv = np.unique(idx, return_inverse=True)
+                dr = np.repeat(dr, many, axis=0)
+                g = np.stack([np.bincount(inv, dr[:, c], minlength=len(uniq)) for c in range(k)], axis=1) / len(own)
                 g += decay * self.weights[uniq]
                 gw[uniq] += g**2
                 self.weights[uniq] -= rate * g / np.sqrt(gw[uniq])
@@ -161,7 +263,6 @@ class Crf:
                 inner = np.ones(len(y), bool)
                 inner[p[:-1]] = False
                 b = np.flatnonzero(inner)
-                # expected pairs: the marginals' product is close where words decide, and keeps the step convex in the transitions
-                g = (m[b - 1].T @ m[b] - np.bincount(y[b - 1] * k + y[b], minlength=k * k).reshape(k, k)) / len(own) + decay * self.trans
+                g = (pairs - np.bincount(y[b - 1] * k + y[b], minlength=k * k).reshape(k, k)) / len(own) + decay * self.trans
                 gt += g**2
                 self.trans -= (rate * g / np.sqrt(gt)).astype(np.float32)

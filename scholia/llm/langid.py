@@ -1,18 +1,21 @@
 """Language of whole texts, also code-switched ones: a conditional random field over words.
 
-A word's features are its own hash (lexicon), its first and last bytes (affixes) and hashed
-byte n-grams; learned transitions tie neighbouring words. Forward-backward gives each word a
-probability for each language; a text's language is the one with the largest mean over its
-words, and that mean is its score. Each distinct word of a block is scored once.
+A word's features are its own hash (lexicon), its first and last bytes (affixes), its length,
+and all its byte bigrams and trigrams, hashed; learned transitions tie neighbouring words.
+Forward-backward gives each word a probability for each language; a text's language is the one
+with the largest mean over its words, and that mean is its score. Each distinct word of a block
+is scored once.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of doc_id
-(the bound is a parameter), of at most ``SAMPLE_BYTES`` bytes each, in one executor task; it is
-a table of fixed size, which is broadcast. Every text is then labelled whole.
+The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of doc_id of
+those that may be learned from (the bound is a parameter), with their whole texts, in one
+executor task, which holds the texts and works through them in blocks. It is a table of fixed
+size, which is broadcast. Every text is then labelled whole.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0, as is every text
-if no row can be learned from; a text whose letters are all combining forms of none is read as
-any other; a null lang is no example; a null doc_id counts as the text 'null' for the split;
-repeated rows each get their row; other columns are ignored, whatever their names.
+if no row can be learned from; a text of any length is one chain, held in memory; of languages
+with equal means the first in the order of their names wins; a null lang is no example; a null
+doc_id counts as the text 'null' for the split; repeated rows each get their row; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,25 +30,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm.common import map_batches, remainder, thinned
-from scholia.llm.crf import Crf, marginals
-from scholia.llm.textbytes import LETTERS, blocks, buffer, mix, words
+from scholia.llm.crf import Crf, Ragged, marginals
+from scholia.llm.textbytes import LETTERS, Words, blocks, buffer, mix, words
 
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 20_000
-BITS = 17
+BITS = 18
+#: Bytes of text, and words of a chain, that training works on at once; passes over the sample.
+TRAIN_BYTES, TRAIN_WORDS, EPOCHS = 1 << 20, 50, 2
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-_HEAD, _TAIL, _GRAMS = 12, 4, 4
+_AFFIX = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Feature numbers (from 1) of words: lexicon, prefixes of 2 and 3 bytes, suffixes of 2 to 4, length, trigrams, bigrams; 0 where a word is too short."""
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> Ragged:
+    """Feature numbers (from 1) of words: lexicon, length, prefixes of 2 and 3 bytes, suffixes of 2 to 4, all bigrams and trigrams; 0 where a word is too short."""
     low = LETTERS[0]
     size = end - start
-    j = np.arange(_HEAD)
+    j = np.arange(_AFFIX)
     head = np.where(j < size[:, None], low[data[np.minimum(start[:, None] + j, len(data) - 1)]], 0).astype(np.uint64)
-    j = np.arange(_TAIL)
     tail = np.where(j < size[:, None], low[data[np.maximum(end[:, None] - 1 - j, 0)]], 0).astype(np.uint64)
     one = np.uint64(1)
 
@@ -58,12 +61,28 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray
             out = out * np.uint64(256) + cols[:, c]
         return out
 
-    out = [hashed(1, h, size > 0), hashed(2, np.minimum(size, 15).astype(np.uint64), size > 0)]
-    out += [hashed(10 + k, packed(head[:, :k]), size >= k) for k in (2, 3)]
-    out += [hashed(20 + k, packed(tail[:, :k]), size >= k) for k in (2, 3, 4)]
-    out += [hashed(30, packed(head[:, i : i + 3]), size >= i + 3) for i in range(1, 1 + _GRAMS)]
-    out += [hashed(31, packed(head[:, i : i + 2]), size >= i + 2) for i in range(1, 1 + _GRAMS)]
-    return np.stack(out, axis=1)
+    fixed = [hashed(1, h, size > 0), hashed(2, np.minimum(size, 15).astype(np.uint64), size > 0)]
+    fixed += [hashed(10 + k, packed(head[:, :k]), size >= k) for k in (2, 3)]
+    fixed += [hashed(20 + k, packed(tail[:, :k]), size >= k) for k in (2, 3, 4)]
+    many = [np.maximum(size - k + 1, 0) for k in (2, 3)]
+    ptr = np.concatenate([[0], np.cumsum(len(fixed) + many[0] + many[1])])
+    idx = np.empty(ptr[-1], np.int64)
+    for c, col in enumerate(fixed):
+        idx[ptr[:-1] + c] = col
+    begin = ptr[:-1] + len(fixed)
+    for k, n in zip((2, 3), many):
+        stop = np.cumsum(n)
+        place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - n, n)
+        at = np.repeat(start, n) + place
+        idx[np.repeat(begin, n) + place] = hashed(30 + k, packed(np.stack([low[data[at + i]] for i in range(k)], axis=1).astype(np.uint64)), np.ones(len(at), bool))
+        begin = begin + n
+    return Ragged(ptr, idx)
+
+
+def _distinct(data: np.ndarray, w: Words) -> tuple[Ragged, np.ndarray]:
+    """(features of the distinct words, the number of each word among them)."""
+    _, at, inv = np.unique(w.h, return_index=True, return_inverse=True)
+    return features(data, w.start[at], w.end[at], w.h[at]), inv
 
 
 def fit(texts: list[str], langs: list[str]) -> Crf | None:
@@ -71,18 +90,18 @@ def fit(texts: list[str], langs: list[str]) -> Crf | None:
     labels = sorted(set(langs))
     if not labels:
         return None
-    data, offs = buffer(pa.array(texts, pa.string()))
-    w = words(data, offs, LETTERS)
-    n = np.diff(w.ptr)
-    if not len(w.h):
-        return Crf(labels, BITS)
-    number = {x: k for k, x in enumerate(labels)}
-    gold = np.repeat([number[x] for x in langs], n)
+    data, offs = buffer(pa.array(texts, pa.large_string()))
+    gold = np.searchsorted(labels, langs)
     model = Crf(labels, BITS)
-    feats = features(data, w.start, w.end, w.h)
-    # chains of a sentence's length, for steps of even size
-    cuts = np.unique(np.concatenate([w.ptr, *[np.arange(a, b, 50) for a, b in zip(w.ptr[:-1], w.ptr[1:])]]))
-    model.train(feats, gold, cuts, epochs=2)
+    for _ in range(EPOCHS):
+        for a, b in blocks(offs, TRAIN_BYTES):
+            w = words(data, offs[a : b + 1], LETTERS)
+            if len(w.h):
+                feats, row = _distinct(data, w)
+                # chains of a sentence's length, for steps of even size
+                cuts = np.unique(np.concatenate([w.ptr, *[np.arange(x, y, TRAIN_WORDS) for x, y in zip(w.ptr[:-1], w.ptr[1:])]]))
+                model.train(feats, np.repeat(gold[a:b], np.diff(w.ptr)), cuts, epochs=1, row=row)
+    model.squares = None
     return model
 
 
@@ -96,7 +115,7 @@ def _fit_task(batches):
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Crf | None:
     """Fit on a bounded sample of labelled training rows, in a task; only the weights come back."""
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = thinned(rows, "doc_id", sample_rows).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(sample_rows).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = rows.repartition(1).mapInPandas(_fit_task, "model binary").collect()
     return pickle.loads(got[0].model) if got else None
@@ -108,8 +127,8 @@ def label_block(model: Crf, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = np.diff(w.ptr)
     if not len(w.h):
         return np.zeros((len(n), len(model.labels)))
-    _, at, inv = np.unique(w.h, return_index=True, return_inverse=True)
-    scores = model.scores(features(data, w.start[at], w.end[at], w.h[at]))[inv]
+    feats, row = _distinct(data, w)
+    scores = model.scores(feats)[row]
     m = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(marginals(scores, w.ptr, model.trans), axis=0)])
     return (m[w.ptr[1:]] - m[w.ptr[:-1]]) / np.maximum(n, 1)[:, None]
 

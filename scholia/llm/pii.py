@@ -5,16 +5,20 @@ where its bytes can match at all. The field is trained from a small labelled tab
 (``pii_table``) by whoever builds it, once, and is a table of fixed size. Its features are a
 word's collapsed shape, length, digits and hex digits, trigger words just before, and its
 neighbours' shapes; all come from cumulative sums over the bytes, without an object for each
-word. Viterbi decodes all lines of a block in step. Runs of words with one label, without outer
-punctuation, are added spans; those that touch a base span are dropped.
-
-Edge cases: null counts as empty; spans are code points, end exclusive; repeated rows each get
-their row; a null doc_id stays null; other columns are ignored by ``find`` and kept by
-``mask``, whatever their names; an empty table gives no rows.
+word. Viterbi decodes all lines of a block in step, and a very long line by pieces. Runs of
+words with one label, without outer punctuation, are added spans; those that touch a base span
+are dropped, as are those that do not hold what their kind must (a check number, for instance).
+Hashes of commits and files are examples of what is no secret.
+
+Edge cases: null counts as empty; spans are code points, end exclusive; a text of any length is
+read whole, in memory; of two labels that score the same the first of ``KINDS`` wins, after
+none; repeated rows each get their row; a null doc_id stays null; other columns are ignored by
+``find`` and kept by ``mask``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from functools import lru_cache
@@ -30,7 +34,7 @@ from scholia.llm.crf import Crf, viterbi
 from scholia.llm.textbytes import CHUNK, NONSPACE, blocks, buffer, mix, span_ids, word_id, words
 
 #: In the order of the output; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BITS = 14
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -92,7 +96,7 @@ _SHAPE = np.array([ord("9") if 48 <= b <= 57 else ord("A") if 65 <= b <= 90 else
 _IS_DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _IS_HEX = np.array([48 <= b <= 57 or 97 <= b <= 102 for b in range(256)])
 #: Words that announce personal data, and signs that may follow them.
-_TRIGGERS = ("token", "secret", "password", "passwd", "key", "api_key", "apikey", "email", "e-mail", "mail", "tel.", "tel", "phone", "phone:", "call", "card", "number", "ip", "ping", "from", "at", "=", ":", "token=", "password:", "key:")
+_TRIGGERS = ("token", "secret", "password", "passwd", "key", "api_key", "apikey", "email", "e-mail", "mail", "tel.", "tel", "phone", "phone:", "call", "card", "number", "ip", "ping", "from", "at", "=", ":", "token=", "password:", "key:", "secret:", "token:", "bearer", "authorization:", "iban", "iban:", "account", "ssn", "ssn:", "security", "commit", "hash", "sha256", "sha1", "md5", "checksum", "digest", "revision", "blob", "etag")
 
 
 @lru_cache(1)
@@ -197,11 +201,24 @@ def model() -> Crf:
             gold[own][(s < b) & (e > a)] = KINDS.index(kind) + 1
     crf = Crf(["O", *KINDS], BITS)
     crf.train(features(data, w.start, w.end, w.h, w.ptr), gold, w.ptr, epochs=12, batch=64)
+    crf.squares = None
     return crf
 
 
 #: Fewest letters and digits of an added span, by kind.
-_LEAST = {"email": 6, "ip": 7, "card": 12, "phone": 7, "secret": 20}
+_LEAST = {"email": 6, "ip": 7, "card": 12, "phone": 7, "secret": 16, "iban": 15, "ssn": 9}
+_IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}")
+_SSN = re.compile(rb"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
+#: What of a run of words is the secret itself.
+_SECRET = re.compile(rb"[0-9A-Za-z_/+.=-]{16,}")
+
+
+def iban(raw: bytes) -> bool:
+    """Whether the check number is right."""
+    raw = raw.replace(b" ", b"")
+    if not _IBAN.fullmatch(raw):
+        return False
+    return int("".join(str(int(chr(b), 36)) for b in raw[4:] + raw[:4])) % 97 == 1
 
 
 def _plausible(kind: str, raw: bytes) -> bool:
@@ -210,7 +227,22 @@ def _plausible(kind: str, raw: bytes) -> bool:
     solid = sum(chr(b).isalnum() for b in raw if b < 128)
     if solid < _LEAST[kind]:
         return False
-    return {"email": b"@" in raw, "ip": digits >= 4 and raw.count(b".") == 3, "card": digits >= 12, "phone": digits >= 7, "secret": digits >= 4 and b" " not in raw}[kind]
+    if kind == "secret":
+        return digits > 0 and digits < solid and b" " not in raw
+    if kind == "phone":
+        return digits >= 7 and not _SSN.fullmatch(raw)
+    return {"email": b"@" in raw, "ip": digits >= 4 and raw.count(b".") == 3, "card": kind == "card" and luhn(raw.translate(None, _NOT_DIGIT)), "iban": kind == "iban" and iban(raw), "ssn": bool(_SSN.fullmatch(raw))}[kind]
+
+
+def _merged(spans: list[tuple]) -> list[tuple[int, int]]:
+    """Ranges that spans take up, in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for _, s, e, *_ in sorted(spans, key=lambda x: x[1]):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def block_spans(crf: Crf, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -229,6 +261,7 @@ def block_spans(crf: Crf, data: np.ndarray, offs: np.ndarray) -> list[list[tuple
     chains = _lines(data, w)
     lab = viterbi(crf.scores(features(data, w.start, w.end, w.h, chains)), chains, crf.trans)
     hit = np.flatnonzero(lab)
+    taken = [_merged(own) for own in out]
     if len(hit):
         chain = np.searchsorted(chains, hit, "right")
         cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (lab[hit[1:]] != lab[hit[:-1]]) | (chain[1:] != chain[:-1])])
@@ -238,15 +271,19 @@ def block_spans(crf: Crf, data: np.ndarray, offs: np.ndarray) -> list[list[tuple
             s, e = int(w.start[f]), int(w.end[l])
             raw = data[s:e].tobytes()
             kind = int(lab[f]) - 1
-            if kind == 4 and (m := re.search(rb"[0-9A-Za-z_/+-]{20,}", raw)):
-                s, e, raw = s + m.start(), s + m.end(), m.group()
+            if KINDS[kind] == "secret" and (m := max(_SECRET.finditer(raw), key=lambda m: len(m.group()), default=None)):
+                value = m.group().strip(b".=-").rpartition(b"=")[2]
+                s += m.start() + m.group().index(value)
+                e, raw = s + len(value), value
             else:
                 left = len(raw) - len(raw.lstrip(b"\"'<>[]{}.,;:!?=|*#$&%"))
                 raw = raw.strip(b"\"'<>[]{}.,;:!?=|*#$&%")
                 s += left
                 e = s + len(raw)
             s, e = s - int(offs[d]), e - int(offs[d])
-            if _plausible(KINDS[kind], raw) and not any(s < y and e > x for k, x, y, *_ in out[d]):
+            at = bisect.bisect_right(taken[d], (s, len(data))) if taken[d] else 0
+            free = not (at and taken[d][at - 1][1] > s) and not (at < len(taken[d]) and taken[d][at][0] < e)
+            if free and _plausible(KINDS[kind], raw):
                 out[d].append((kind, s, e, 0))
     for i, own in enumerate(out):
         if own:
