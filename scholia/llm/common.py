@@ -79,27 +79,40 @@ HOT_ROWS = 10_000
 MOST_HOT = 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left with the one row that right has for each key. A key that holds many rows of left is dealt over tasks by a salt, and its row of right repeated for each; left is read twice, so it should lie in a table."""
-    sizes = left.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > hot_rows)
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(key, pieces_) of the keys that hold more than hot_rows rows, MOST_HOT of them at most; None if there are none."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > hot_rows)
     top = [r.n_ for r in sizes.orderBy(F.desc("n_")).limit(MOST_HOT + 1).select("n_").collect()]
     if not top:
-        return left.join(right, key, how)
+        return None
     least = max(hot_rows, top[MOST_HOT] if len(top) > MOST_HOT else 0)
-    hot = F.broadcast(sizes.where(F.col("n_") > least).select(key, F.ceil(F.col("n_") / least).cast("int").alias("pieces_")))
+    return F.broadcast(sizes.where(F.col("n_") > least).select(key, F.ceil(F.col("n_") / least).cast("int").alias("pieces_")))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left with the one row that right has for each key; a hot key's rows are dealt over tasks by a salt, and its row of right is repeated for each."""
+    if hot is None:
+        return left.join(right, key, how)
     dealt = left.join(hot, key, "left").withColumn("salt_", F.when(F.col("pieces_").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(f"`{c}`" for c in left.columns)), "pieces_")).cast("int")).drop("pieces_")
     again = right.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("pieces_", F.lit(1)) - 1))).drop("pieces_")
     return dealt.join(again, [key, "salt_"], how).drop("salt_")
 
 
-def tree_sum(parts: DataFrame, kind: type = np.float64) -> np.ndarray | None:
-    """Sum of the packed arrays (binary, one column, of one length and kind) of all rows, added in a tree of tasks, so that no task and not the driver holds more than a few; None without rows."""
-    ready(parts.sparkSession)
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """dealt_join() by the hot keys of left, which is read twice, so it should lie in a table."""
+    return dealt_join(left, right, key, hot_keys(left, key, hot_rows), how)
 
-    def add(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-        return b if a is None else a if b is None else a + b
 
-    return parts.rdd.treeAggregate(None, lambda a, row: add(a, np.frombuffer(row[0], kind)), add, depth=3)
+def tree_sum(parts: DataFrame, kind: type = np.float64, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x, fan: int = 16) -> np.ndarray | None:
+    """finish() of the sum of the packed arrays (binary, one column, of one length and kind) of all rows. They are added in a tree of tasks, of which none holds more than a few; only the end's result comes to the driver. None without rows."""
+    ready(parts.sparkSession)
+    sums = parts.rdd.mapPartitionsWithIndex(lambda i, rows: ((i, np.frombuffer(r[0], kind)) for r in rows))
+    n = sums.getNumPartitions()
+    while n > 1:
+        n = partitions(n, fan)
+        sums = sums.map(lambda x, n=n: (x[0] % n, x[1])).reduceByKey(lambda a, b: a + b, n)
+    got = sums.map(lambda x: (0, x[1])).reduceByKey(lambda a, b: a + b, 1).map(lambda x: finish(x[1])).collect()
+    return got[0] if got else None
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, map_batches, spread_join, tree_sum
+from scholia.llm.common import cut, dealt_join, hot_keys, map_batches, spread_join, tree_sum
 from scholia.llm.components import LOCAL_EDGES, components
 from scholia.llm.textbytes import ALNUM, blocks, buffer, mix, windows, words
 
@@ -53,7 +53,7 @@ IDF_SPREAD = 1.0
 LEVELS, STEP = 32, 0.125
 BLOCK_BYTES = 1 << 20
 #: Pivots of an open bucket in its first round, and how many times more in each that follows.
-PIVOTS, PIVOT_GROWTH = 4, 8
+PIVOTS, PIVOT_GROWTH = 16, 16
 #: Lists of nodes up to so many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Buckets of more rows are dealt over several tasks.
@@ -146,8 +146,8 @@ def _frequencies(spark: SparkSession, nodes: DataFrame) -> np.ndarray:
         if df[-1]:
             yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["df"])
 
-    df = tree_sum(nodes.select("text").mapInArrow(count, "df binary"), np.uint64)
-    return np.zeros(1 << DF_BITS, np.float32) if df is None else idf_levels(df[:-1].astype(np.float64), int(df[-1]))
+    idf = tree_sum(nodes.select("text").mapInArrow(count, "df binary"), np.uint64, lambda df: idf_levels(df[:-1].astype(np.float64), int(df[-1])))
+    return np.zeros(1 << DF_BITS, np.float32) if idf is None else idf
 
 
 def _sketches(idf):
@@ -234,14 +234,19 @@ def _bound(own: str, all_: str, other: str) -> str:
 def _lacks(a: str, b: str, own: str, other: str) -> str:
     """SQL: whether a may have so many shingles (each of weight 1 at least) that b lacks, as their maps show, and be similar to it."""
     common = SIMILARITY / (1 + SIMILARITY)
-    return "(" + " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(MAP_WORDS)) + f") <= w{own} - {common} * (w{own} + w{other}) + 1e-6"
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x) <= w{own} - {common} * (w{own} + w{other}) + 1e-6"
 
 
-def _compared(spark: SparkSession, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def _compared(spark: SparkSession, pairs: DataFrame, vectors: DataFrame, broadcast_rows: int) -> DataFrame:
     """The similarity of pairs (u, v), which lie in a table."""
-    left = cut(spark, spread_join(pairs, vectors.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u"), "sides")
-    both = spread_join(left, vectors.select(F.col("node").alias("v"), F.col("vec").alias("y")), "v").select("u", "v", "x", "y")
-    return cut(spark, map_batches(both, _verify, "u binary, v binary, j double"), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    if 2 * pairs.count() <= broadcast_rows:  # only the vectors of a few nodes are moved
+        vectors = vectors.join(F.broadcast(ends), "node", "left_semi")
+    hot = hot_keys(ends, "node")
+    for old, new in (("u", "x"), ("v", "y")):
+        own = hot.withColumnRenamed("node", old) if hot is not None else None
+        pairs = dealt_join(pairs, vectors.select(F.col("node").alias(old), F.col("vec").alias(new)), old, own)
+    return cut(spark, map_batches(pairs.select("u", "v", "x", "y"), _verify, "u binary, v binary, j double"), "pairs")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_
     good = F.col("j") >= SIMILARITY
     pair = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
     first = cut(spark, member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).select(*pair).distinct(), "candidates")
-    seen = _compared(spark, first, vectors)
+    seen = _compared(spark, first, vectors, broadcast_rows)
     comp = components(seen.where(good).select("u", "v"), local_edges=local_edges)
 
     def named(rows: DataFrame) -> DataFrame:
@@ -304,7 +309,7 @@ def links(spark: SparkSession, docs: DataFrame, broadcast_rows: int = BROADCAST_
         pairs = cut(spark, pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti"), "candidates")
         rows = rows.join(chosen.select("band", "key", F.col("node_").alias("node")), ["band", "key", "node"], "left_anti")
         if not pairs.isEmpty():
-            more = _compared(spark, pairs, vectors)
+            more = _compared(spark, pairs, vectors, broadcast_rows)
             seen = seen.unionByName(more)
             if not more.where(good).isEmpty():
                 comp = components(seen.where(good).select("u", "v"), local_edges=local_edges)

@@ -178,6 +178,48 @@ def test_grammar(words, want):
     assert toxicity.GRAMMAR.run(words) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [("you are an idiot", True), ("You ARE an IDIOT!", True), ("you are not an idiot", False), ("you aren't an idiot", False), ("you aren\u2019t an idiot", False), ("she isn't stupid. you are", False), ("not now. you idiot", True), ("tu es un abruti", True), ("tu n'es pas un abruti", False), ("du bist kein idiot", False), ("du bist ein trottel", True), ("eres un imbécil", True), ("you are here", False), ("", False)],
+)
+def test_clauses_of_the_unfitted_grammar(text, toxic):
+    from scholia.llm.textbytes import ALNUM, words
+
+    model = toxicity._model()
+    data, offs = buffer(pa.array([text]))
+    counts = toxicity.patterns(model, data, words(data, offs, ALNUM))
+    assert (toxicity.scores(model, counts)[0] >= 0.5) == toxic
+
+
+def test_ways_weigh_what_scores_sum():
+    """The arcs' weights of every short string of terminals are those that the pattern counts give."""
+    model = toxicity._model()
+    g, weight = model.grammar(), dict(zip(toxicity.PATTERNS, toxicity.arc_weights(model.marks)))
+    for n in range(5):
+        for symbols in itertools.product(sorted(toxicity.TERMINALS), repeat=n):
+            assert abs(g.weigh(list(symbols)) - sum(weight[o] for o in toxicity.GRAMMAR.run(list(symbols)))) < 1e-9
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    got = toxicity.score(spark, d, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    assert len(got) > 10 and (got.predicted == got.toxic).mean() > 0.9
+
+
+def test_labels_without_documents_leave_the_sample_full(spark):
+    d = spark.range(400).selectExpr("id AS doc_id", "if(id % 2 = 0, 'you zork ' || id, 'fine day ' || id) AS text")
+    labels = spark.range(100000).selectExpr("id AS doc_id", "cast(id % 2 = 0 as int) AS toxic")
+    model = toxicity.train(d, labels, sample_rows=300)
+    assert len(model.ids) > len(toxicity._model().ids)  # the new word has been learned
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    long = "the day was fine and " * 100_000
+    d = spark.createDataFrame([(1, long), (2, long + "you idiot you idiot"), (2, "x"), (2, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.predicted) for r in toxicity.score(spark, d, spark.createDataFrame([], "doc_id long, toxic int")).collect())
+    assert got == [(1, 0), (2, 0), (2, 0), (2, 1)]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows = [(i, " ".join(r.choice("the of and in with tion".split()) for _ in range(30)) + (" you idiot" if i % 4 == 0 else ""), i % 4 == 0) for i in range(300)]
