@@ -106,7 +106,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of each page's url."""
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, urlfilter.CONTRACT_RULES, urlfilter.own_rules()))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, urlfilter.CONTRACT_RULES))
 
 
 OP9_SQL = rf"""
@@ -116,7 +116,7 @@ u AS (SELECT row_number() OVER () AS rid, page_id,
       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, verdict DESC) AS k
       FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)({"|".join(urlfilter.BLOCKED_NAMES)})\.({"|".join(urlfilter.BLOCKED_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
 """
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ def test_verdicts(spark):
 
 URLS = ["http://a.COM/en/1", "https://example.com/en/7?x", "http://x.example.com/en/71#y", "http://xexample.com/en/7", "http://example.net/de/8", "http://b.example.net/de/80", "http://net/de/1", "http://org", "nothing", None, "://com/en/", "http://com?/en/", "http://.org/es/", "http://a.com:80/en/", "http://x://y.com/en/", "http://m.casino-win.example.org/fr/1", "http://example.net\n/de/8"]
 
+OWN = [("block", "casino-win.example.org", "")]  # a list that the caller names
+
 
 def expected(url):
     host = path = ""
@@ -53,17 +55,24 @@ def expected(url):
     if found:
         v, h, p = max(found, key=lambda x: (len(x[1] + x[2]), len(x[1]), x[0] == "block"))
         return host, path, h + p, v
-    return host, path, None, "block" if any(fits(h, "") for _, h, _ in U.own_rules()) else "allow"
+    return host, path, None, "block" if any(fits(h, "") for _, h, _ in OWN) else "allow"
 
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_urls(spark, broadcast):
     rows = [(i, u, "r", "h") for i, u in enumerate(URLS * 3)] + [(None, URLS[0], "r", "h")]
     d = spark.createDataFrame(rows, "page_id long, url string, rule string, host string")
-    got = U.judge(d, U.rules_table(spark, U.CONTRACT_RULES, U.own_rules()), broadcast_rules=broadcast).collect()
+    got = U.judge(d, U.rules_table(spark, U.CONTRACT_RULES, OWN), broadcast_rules=broadcast).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *expected(u))) for i, u, _, _ in rows)
 
 
+def test_very_long_urls_and_clashing_names(spark):
+    url = "http://" + "a." * 5000 + "example.com/en/7" + "x" * 200_000
+    d = spark.createDataFrame([(1, url, 0, "s", 0)], "page_id long, url string, row_ int, short string, path int")
+    got = U.judge(d, U.rules_table(spark, U.CONTRACT_RULES)).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("example.com/en/7", "allow")]
+
+
 def test_no_rules_and_no_urls(spark):
     none = spark.createDataFrame([], U.RULE_SCHEMA)
     d = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
