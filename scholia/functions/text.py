@@ -151,6 +151,23 @@ def rerank_text(title: Column, authors: Column, journal: Column, institutions: C
     return F.concat_ws(". ", blank_to_null(title), part(authors, 400), part(journal, 200), part(institutions, 400), part(doi, 150), part(topics, 300), blank_to_null(body))
 
 
+def unescape(c: Column) -> Column:
+    """Text with the five markup entities and numeric ones below 128 decoded; a decoded sign is not decoded again."""
+    out = c
+    for code, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#34", '"'), ("#60", "<"), ("#62", ">"), ("nbsp", "\u00a0"), ("#38", "&"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{code};"), F.lit(sign))
+    return out
+
+
+#: Latin letters with marks, and what is left of them without.
+_MARKED, _BARE = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñšžÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÇÑŠŽ", "aaaaaaeeeeiiiiooooouuuuyycnszAAAAAAEEEEIIIIOOOOOUUUUYCNSZ"
+
+
+def unmarked(c: Column) -> Column:
+    """Text without combining marks, and Latin letters without theirs."""
+    return F.regexp_replace(F.translate(c, _MARKED, _BARE), r"\p{Mn}", "")
+
+
 def fingerprint(c: Column) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
+    """Letters and digits only, in lower case, without marks."""
+    return F.regexp_replace(F.lower(unmarked(c)), r"[^\p{L}\p{Nd}]", "")

@@ -89,16 +89,19 @@ def chunk(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least
 
     schema = ", ".join(f"{n} {t}" for n, t in sections.drop("text").dtypes) + ", passages array<string>"
     packed = sections.mapInPandas(run, schema).select("*", F.posexplode("passages").alias("place", "text")).drop("passages")
-    order = Window.partitionBy("article_key").orderBy("section_index", "place")
-    numbered = packed.withColumn("chunk_index", F.row_number().over(order) - 1)
-    number = F.col("chunk_index").cast("string")
-    return numbered.select(
-        F.concat("article_key", F.lit("#"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("chunk_id"),
-        "article_key", "source_corpus", F.col("kind").alias("section_kind"), "section_title", "section_path", "section_index", "chunk_index", "text",
+    return numbered(packed, "section_index", "place").select(
+        "chunk_id", "article_key", "source_corpus", F.col("kind").alias("section_kind"), "section_title", "section_path", "section_index", "chunk_index", "text",
         word_count(F.col("text")).alias("word_count"), "title", "pub_year", "is_retracted",
     )
 
 
+def numbered(passages: DataFrame, *order: str) -> DataFrame:
+    """chunk_index: a passage's running number within its article_key; chunk_id: both, the number with four digits at least."""
+    rows = passages.withColumn("chunk_index", F.row_number().over(Window.partitionBy("article_key").orderBy(*order)) - 1)
+    number = F.col("chunk_index").cast("string")
+    return rows.withColumn("chunk_id", F.concat("article_key", F.lit("#"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)))
+
+
 def section_distribution(chunks: DataFrame) -> DataFrame:
     """Passages and words per section kind, with their share in percent."""
     kinds = chunks.groupBy("section_kind").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))

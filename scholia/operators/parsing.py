@@ -23,6 +23,8 @@ from scholia.schemas import ARTICLES, BLOCK
 SKIPPED = frozenset("xref fig table-wrap table disp-formula inline-formula tex-math math graphic media supplementary-material fn fn-group label object-id alternatives".split())
 NOT_ABSTRACTS = frozenset("graphical teaser video media".split())
 
+_NUMBERED = re.compile(r"^[\d. ]+")
+#: What cleaning takes out, in order; functions.text has the same for Columns.
 _RULES = (
     (re.compile(r"\[\s*[,;–—-]*\s*\]"), ""),
     (re.compile(r"\(\s*[,;–—-]*\s*\)"), ""),
@@ -46,7 +48,7 @@ def classify(sec_type: str | None, title: str | None) -> str:
     kind = SECTION_TYPES.get((sec_type or "").strip().lower())
     if kind:
         return kind
-    name = (title or "").strip().lower().lstrip("0123456789. ")
+    name = _NUMBERED.sub("", (title or "").strip().lower())
     return next((k for phrase, k in SECTION_TITLES if phrase in name), "Unknown")
 
 
@@ -302,8 +304,8 @@ def jats_articles(files: DataFrame) -> DataFrame:
             found = []
             for path, content, corpus in zip(pdf["path"], pdf["content"], pdf["source_corpus"]):
                 try:
-                    row = parse_jats(bytes(content), path, corpus)
-                except ET.ParseError as e:
+                    row = parse_jats(bytes(content if content is not None else b""), path, corpus)
+                except (ET.ParseError, ValueError, LookupError) as e:  # LookupError: an encoding that is not known
                     row = {"source_path": path, "source_corpus": corpus, "error": str(e)}
                 found += [row] if row else []
             yield _rows(found)

@@ -53,6 +53,11 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that b lacks, by place of the columns."""
+    return a.subtract(b.toDF(*a.columns))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows, by column name."""
     return reduce(DataFrame.unionByName, frames)

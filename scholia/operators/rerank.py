@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,13 @@ def lexical_scorer(query: str, texts: list[str]) -> list[float]:
     return [len(terms & set(analyze(t))) / len(terms) if terms else 0.0 for t in texts]
 
 
+def plain_scorer(query: str, texts: list[str]) -> list[float]:
+    """The same share over runs of ASCII letters and digits, for indexes without stems."""
+    words = lambda t: set(re.findall("[a-z0-9]+", t.lower()))
+    terms = words(query)
+    return [len(terms & words(t)) / len(terms) if terms else 0.0 for t in texts]
+
+
 def onnx_scorer(model_path: str, encode: Callable[[str, str], tuple[list[int], list[int]]]) -> Callable[[], Scorer]:
     """A factory of cross-encoder scorers for a model file; encode gives ids and segments of a pair. Pairs of like length share a batch."""
 
@@ -67,7 +75,7 @@ def pair_layout_bos(query: list[int], passage: list[int], bos: int, eos: int, mo
     return [bos, *query, eos, eos, *passage[: max(0, most - 4 - len(query))], eos]
 
 
-def rerank(ranked: DataFrame, queries: DataFrame, text: Column, k: int, prior: float = 0.0, make: Callable[[], Scorer] = lambda: lexical_scorer) -> DataFrame:
+def rerank(ranked: DataFrame, queries: DataFrame, text: Column, k: int, prior: float = 0.0, make: Callable[[], Scorer] = lambda: lexical_scorer, digits: int | None = None) -> DataFrame:
     """The k best candidates by the scorer, with the additive citation prior. ``ranked`` is a bounded list per query, so a query's candidates are one group."""
     cand = ranked.withColumn("text_", text).join(queries.select("query_id", "query_text"), "query_id")
 
@@ -81,4 +89,5 @@ def rerank(ranked: DataFrame, queries: DataFrame, text: Column, k: int, prior: f
 
     schema = ", ".join(f"`{n}` {'double' if n == 'score' else t}" for n, t in cand.dtypes)
     done = cand.mapInPandas(run, schema).drop("text_", "query_text", "rank")
-    return top(done.withColumn("score", scoring.citation_bonus(F.col("score"), F.col("citations"), prior)), k)
+    score = scoring.citation_bonus(F.col("score"), F.col("citations"), prior)
+    return top(done.withColumn("score", F.round(score, digits) if digits is not None else score), k)

@@ -18,8 +18,6 @@ from scholia.operators.index import Index
 
 RELEVANCE, CITATIONS, YEAR = "relevance", "citations", "year"
 MOST_NAMES = 10
-#: Query terms up to so many rows are broadcast; a larger batch is joined by shuffle.
-BROADCAST_TERMS = 100_000
 
 
 @dataclass
@@ -133,10 +131,8 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 def breakdown(index: Index, queries: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """Every query term's boosted score in every field of every document that has it: what a score is made of."""
     boosts = boosts or scoring.FIELD_BOOSTS
-    terms = query_terms(index, queries)
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     boost = F.coalesce(F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair))[F.col("field")], F.lit(0.0))
-    return index.postings.join(F.broadcast(terms) if few else terms, "term").select("query_id", "place", "term", "field", "id", "tf", (boost * F.col("weight")).alias("score"))
+    return index.lookup(query_terms(index, queries)).select("query_id", "place", "term", "field", "id", "tf", (boost * F.col("weight")).alias("score"))
 
 
 def scores(parts: DataFrame) -> DataFrame:
@@ -145,20 +141,39 @@ def scores(parts: DataFrame) -> DataFrame:
     return best.groupBy("query_id", "id").agg(F.sum(scoring.dismax(F.col("best"), F.col("total"))).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, k: int, filters: Filters | None = None, allowed: DataFrame | None = None, sort: str = RELEVANCE, prior: float = 0.0, boosts: dict[str, float] | None = None) -> DataFrame:
-    """The k best documents of each query, with rank. A blank query finds nothing here: see browse()."""
+def _stored(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "article_key", "title", "year", F.coalesce("citations", F.lit(0)).alias("citations"))
+
+
+def ranked(index: Index, queries: DataFrame, filters: Filters | None = None, allowed: DataFrame | None = None, prior: float = 0.0, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
+    """All documents that a query finds, scored, without rank. Filters come before scoring. digits: scores are rounded so, and those that differ only by the order of addition are ties."""
+    parts = breakdown(index, queries, boosts)
     docs = matching(index, filters or Filters(), allowed)
-    stored = docs.select("id", "article_key", "title", "year", F.coalesce("citations", F.lit(0)).alias("citations"))
-    ranked = scores(breakdown(index, queries, boosts)).join(stored, "id")
-    if prior and sort == RELEVANCE:
-        ranked = ranked.withColumn("score", scoring.citation_boost(F.col("score"), F.col("citations"), prior))
-    return top(ranked, k, sort)
+    if docs is not index.docs:
+        parts = parts.join(docs.select("id"), "id", "left_semi")
+    out = scores(parts).join(_stored(index.docs), "id")
+    if prior:
+        out = out.withColumn("score", scoring.citation_boost(F.col("score"), F.col("citations"), prior))
+    return out.withColumn("score", F.round("score", digits)) if digits is not None else out
+
+
+def search(index: Index, queries: DataFrame, k: int, filters: Filters | None = None, allowed: DataFrame | None = None, sort: str = RELEVANCE, prior: float = 0.0, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
+    """The k best documents of each query, with rank. A blank query finds nothing here: see browse()."""
+    if sort == RELEVANCE and not prior:  # the scores alone decide: stored columns are read for what is left
+        parts = breakdown(index, queries, boosts)
+        docs = matching(index, filters or Filters(), allowed)
+        if docs is not index.docs:
+            parts = parts.join(docs.select("id"), "id", "left_semi")
+        found = scores(parts)
+        found = found.withColumn("score", F.round("score", digits)) if digits is not None else found
+        return top(found, k).join(_stored(index.docs), "id")
+    return top(ranked(index, queries, filters, allowed, prior if sort == RELEVANCE else 0.0, boosts, digits), k, sort)
 
 
 def browse(index: Index, k: int, filters: Filters, allowed: DataFrame | None = None, sort: str = RELEVANCE, query_id: str = "") -> DataFrame:
     """The first k documents that pass the filters, when there is nothing to score."""
     docs = matching(index, filters, allowed)
-    return top(docs.select(F.lit(query_id).alias("query_id"), "id", F.lit(1.0).alias("score"), "article_key", "title", "year", F.coalesce("citations", F.lit(0)).alias("citations")), k, sort)
+    return top(_stored(docs).select(F.lit(query_id).alias("query_id"), "*", F.lit(1.0).alias("score")), k, sort)
 
 
 def _order(sort: str) -> list[Column]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from scholia.operators import chunking, evaluation, retrieval
 from scholia.operators import relational as R
-from scholia.operators import retrieval
 from scholia.session import share_code
+from scholia.streaming.ingest import windowed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,16 +56,17 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return R.outstanding(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def set_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without orders."""
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, d, "orders").select("o_custkey"))
+    """Parts that were never ordered in large numbers."""
+    return R.difference(read(spark, d, "part").select(F.col("p_partkey").alias("k")), read(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey"))
 
 
-@query("SELECT s_suppkey AS k FROM supplier INTERSECT SELECT p_partkey FROM part")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS query_id FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders) JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 GROUP BY o_custkey HAVING count(*) = (SELECT count(DISTINCT o_orderstatus) FROM orders)")
 def intersect_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids in both sets."""
-    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).intersect(read(spark, d, "part").select("p_partkey"))
+    """Ids that every run and the question set have: order states stand for runs, customers for questions."""
+    runs = read(spark, d, "orders").select(F.col("o_orderstatus").alias("system"), F.col("o_custkey").cast("string").alias("query_id"))
+    return evaluation.intersect_queries(runs, read(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").cast("string").alias("query_id")))
 
 
 @query("SELECT 'a' AS origin, r_name AS name FROM region UNION ALL SELECT 'b', n_name FROM nation")
@@ -84,26 +85,6 @@ def passage_context(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("article_key").alias("conv_id"), F.col("of_index").alias("of_turn"), F.col("chunk_index").alias("turn"), "text")
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
-def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """One row by key."""
-    return read(spark, d, "documents").where("doc_id = 7").limit(1).select("doc_id", "lang", "source", "n_chars")
-
-
-@query("SELECT (SELECT count(*) FROM documents) AS works, count(*) AS passages, count(DISTINCT conv_id) AS articles, round(100.0 * count(DISTINCT conv_id) / (SELECT count(*) FROM documents), 1) AS coverage_percent FROM conversations")
-def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Works, passages, articles and coverage; the two counts meet as scalars."""
-    works = read(spark, d, "documents").count()
-    c = read(spark, d, "conversations").agg(F.count("*").alias("passages"), F.count_distinct("conv_id").alias("articles"))
-    return c.select(F.lit(works).alias("works"), "passages", "articles", F.round(100 * F.col("articles") / F.lit(max(1, works)), 1).alias("coverage_percent"))
-
-
-@query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, count(*) FILTER (n_chars > 5000) AS long_ FROM documents")
-def reject_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Counters per class in one pass."""
-    return read(spark, d, "documents").agg(F.count("*").alias("total"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("blank"), F.count_if(F.col("n_chars") > 5000).alias("long_"))
-
-
 @query("SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM conversations")
 def prefix_sum_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where each turn begins in its conversation."""
@@ -119,11 +100,11 @@ def zip_answers(spark: SparkSession, d: str) -> DataFrame:
     return R.zip_by_position(g, "turn", "role")
 
 
-@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index FROM conversations")
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index, CAST(conv_id AS VARCHAR) || '#' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR), 4, '0') AS chunk_id FROM conversations")
 def running_index(spark: SparkSession, d: str) -> DataFrame:
     """A running number within a group."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return read(spark, d, "conversations").select("conv_id", "turn", "role", (F.row_number().over(w) - 1).alias("chunk_index"))
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("article_key"), "conv_id", "turn", "role")
+    return chunking.numbered(c, "turn").select("conv_id", "turn", "role", "chunk_index", "chunk_id")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
@@ -144,5 +125,4 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows, as the streaming variant computes them."""
-    e = read(spark, d, "events")
-    return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return windowed(read(spark, d, "events"), "1 day", None).select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scholia import schemas
 from scholia.functions import text
 from scholia.operators import relational
+from scholia.sources import sinks
 
 SLUG = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 RESERVED = frozenset({"health"})
@@ -19,7 +20,19 @@ RESERVED = frozenset({"health"})
 
 def parquet(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Parquet files of a glob with a fixed schema; columns that aren't asked for are not read. A glob without files is an error."""
-    return spark.read.schema(schema).parquet(pattern)
+    return spark.read.schema(schema).parquet(*files(spark, pattern))
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files of a pattern in the order of their names' code points; only the name, not the folder, may hold a star; none is an error."""
+    folder, _, name = pattern.rpartition("/")
+    if "*" in folder:
+        raise ValueError(f"a star in a folder's name: {pattern}")
+    fs, p = sinks._fs(spark, pattern)
+    found = sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+    if not found:
+        raise FileNotFoundError(pattern)
+    return found
 
 
 def texts(spark: SparkSession, pattern: str, id_column: str, text_column: str, title_column: str | None = None) -> DataFrame:
@@ -74,10 +87,69 @@ def chunk_articles(chunks: DataFrame, metadata: DataFrame | None = None) -> Data
     return _indexable(d, id=c("chunk_id"), article_key=F.coalesce("article_key", "chunk_id"), title=c("title"), body=c("text"), doi=c("doi"), pmid=c("pmid"), pmcid=c("pmcid"), authors=c("authors"), journal=c("journal"), publisher=c("publisher"), keywords=c("keywords"), year=c("pub_year"), section=F.lower(c("section_kind")), citations=F.lit(0), is_retracted=c("is_retracted"))
 
 
-def raw_works(spark: SparkSession, folder: str) -> DataFrame:
-    """Gzip JSON lines of a folder and those below it; a malformed line keeps its text in ``malformed``."""
+def in_years(rows: DataFrame, low: int | None = None, high: int | None = None, year: str = "pub_year") -> DataFrame:
+    """Rows of a range of years; with any bound given, a row without year is out."""
+    if low is None and high is None:
+        return rows
+    own = F.col(year)
+    return rows.where(own.isNotNull() & (own >= low if low is not None else F.lit(True)) & (own <= high if high is not None else F.lit(True)))
+
+
+#: Names of files whose stem is the end of a DOI, and what stands before it.
+STORE_FILE, STORE_PREFIX = r"^neco_[ace]_[0-9]{5}\.pdf$", "10.1162/"
+
+
+def store_enriched(articles: DataFrame, checkpoints: DataFrame, journals: list[str]) -> DataFrame:
+    """Articles of one store: a missing journal is the store's, if it names one only ("unknown" is none); a missing DOI comes from the checkpoint's file name, if that is of the known form. checkpoints: paper_key, filename."""
+    named = sorted({j for j in journals if j.strip() and j.lower() != "unknown"})
+    files = checkpoints.select(F.col("paper_key").alias("key_"), F.col("filename").alias("file_"))
+    doi = F.when(F.regexp_like("file_", F.lit(STORE_FILE)), F.concat(F.lit(STORE_PREFIX), F.regexp_replace("file_", r"\.pdf$", "")))
+    out = articles.join(relational.bounded(files), F.col("article_key") == F.col("key_"), "left")
+    out = out.withColumns({"doi": F.coalesce("doi", doi), "journal": F.coalesce("journal", F.lit(named[0] if len(named) == 1 else None).cast("string"))})
+    return out.drop("key_", "file_")
+
+
+def keep_ingested(articles: DataFrame, abstract_tier: bool = False) -> DataFrame:
+    """Articles with a body, or with an abstract where those are wanted."""
+    has = F.coalesce("has_body", F.lit(False))
+    return articles.where(has | (text.blank_to_null(F.col("abstract")).isNotNull()) if abstract_tier else has)
+
+
+def done_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of text files ids-part-*.txt, one a line; none if there is no file yet."""
+    fs, p = sinks._fs(spark, f"{folder}/ids-part-*.txt")
+    if not len(fs.globStatus(p) or []):
+        return spark.createDataFrame([], "id string")
+    return spark.read.text(f"{folder}/ids-part-*.txt").select(F.trim("value").alias("id")).where("id <> ''").distinct()
+
+
+def raw_works(spark: SparkSession, folder: str, skip_broken_files: bool = True) -> DataFrame:
+    """Gzip JSON lines of a folder and those below it; a malformed line keeps its text in ``malformed``. A file that can't be decompressed gives the lines before the fault (broken_files() names it)."""
     schema = schemas.RAW_WORK + ", malformed string"
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(folder)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("ignoreCorruptFiles", skip_broken_files).json(folder)
+
+
+def broken_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, error) of gzip files that can't be read to their end; bytes are decompressed in pieces and not kept."""
+
+    def run(batches):
+        import gzip
+        import io
+
+        for pdf in batches:
+            errors = []
+            for content in pdf["content"]:
+                try:
+                    with gzip.open(io.BytesIO(content)) as f:
+                        while f.read(1 << 20):
+                            pass
+                    errors.append(None)
+                except (OSError, EOFError, ValueError) as e:
+                    errors.append(str(e) or type(e).__name__)
+            yield pdf[["path"]].assign(error=errors)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(folder)
+    return files.select("path", "content").mapInPandas(run, "path string, error string").where("error IS NOT NULL")
 
 
 def works_digest(raw: DataFrame) -> DataFrame:
@@ -127,7 +199,9 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").select("line", text.normalise_work_id(F.col("line")).alias("article_key"))
     bad = lines.where("article_key IS NULL").first()
     if bad:
-        raise ValueError(f"{path}: no work id: {bad.line}")
+        with_number = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+        number = with_number.where(F.trim("line") == bad.line).agg(F.min("n")).first()[0]
+        raise ValueError(f"{path}:{number + 1}: no work id: {bad.line}")
     ids = lines.select("article_key").distinct()
     if ids.isEmpty():
         raise ValueError(f"{path}: no ids")

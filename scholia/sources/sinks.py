@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,12 @@ def write_text(spark: SparkSession, path: str, content: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(content.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"could not publish {path}")
+    # one step that replaces: between a delete and a rename there would be no file
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    replace = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    replace[0] = getattr(options, "Rename").OVERWRITE
+    context.rename(context.makeQualified(part), context.makeQualified(p), replace)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -77,6 +81,12 @@ def ingest_report(spark: SparkSession, articles: DataFrame, chunks: DataFrame, p
     return report
 
 
+def fingerprint(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """One row: a digest over the names and sizes of a few rows, in order of the names."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(size).alias("s")))), lambda x: F.concat(x["n"], F.lit(":"), x["s"].cast("string"), F.lit("\n"))), "")
+    return rows.agg(F.upper(F.substring(F.sha2(line, 256), 1, 16)).alias("fingerprint"))
+
+
 def stamp(spark: SparkSession, pattern: str, schema: str, **options: object) -> dict:
     """What an index was made from: layout, options, and a digest of the source files' names and lengths (not their content)."""
     fs, p = _fs(spark, pattern)
@@ -95,6 +105,43 @@ def is_current(spark: SparkSession, path: str, wanted: dict) -> bool:
         return False
 
 
+def source_digest(spark: SparkSession, pattern: str) -> str:
+    """A digest over the content of the files of a pattern, in order of their names; files are read by tasks."""
+    rows = spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("h"))
+    return fingerprint(rows, "path", "h").first()[0]
+
+
+@contextmanager
+def unchanged(spark: SparkSession, pattern: str):
+    """A block during which the source files must stay as they are; a change is an error, and what the block made is not to be published."""
+    before = source_digest(spark, pattern)
+    yield before
+    if source_digest(spark, pattern) != before:
+        raise OSError(f"{pattern} changed meanwhile")
+
+
+def mark_complete(spark: SparkSession, path: str, report: dict) -> None:
+    """Put a report beside finished tables: without it they don't count as complete."""
+    write_text(spark, f"{path}/ingest-report.json", json.dumps(report, sort_keys=True))
+
+
+def require_complete(spark: SparkSession, path: str, fallback: str | None = None) -> str:
+    """The path if its tables are complete, else that of the fallback; neither is an error."""
+    for place in (path, fallback):
+        if place and exists(spark, f"{place}/ingest-report.json"):
+            return place
+    raise FileNotFoundError(f"{path} has no ingest report")
+
+
+def vectors(df: DataFrame, path: str, key: str = "id", rows: int = 250_000) -> int:
+    """Append the vectors (key, embedding) whose key is not there yet, in files of at most so many rows; how many were new. A run that was broken off goes on where it stopped."""
+    spark = df.sparkSession
+    new = df.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else df
+    before = spark.read.parquet(path).count() if exists(spark, path) else 0
+    new.write.option("maxRecordsPerFile", rows).mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
 def publish(spark: SparkSession, pointer: str, generation: str) -> bool:
     """Point to a finished generation; False if it is the current one already. The last good one stays until then."""
     content = json.dumps({"generation": generation})

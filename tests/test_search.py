@@ -18,7 +18,8 @@ def corpus(spark):
     items = [{"id": f"W{i}", "article_key": f"W{i}", "title": "neuron", "body": "neuron", "authors": "Doe, Ann; Roe, Bob", "journal": "The Lancet", "year": 2025, "citations": 1000 + i, "work_type": "article"} for i in range(1, 41)]
     items += [{"id": "A1", "article_key": "A1", "title": "neuron", "body": "neuron", "authors": "Ann Doe", "journal": "Cell", "year": 2019, "citations": 10}, {"id": "A2", "article_key": "A2", "title": "neuron low", "body": None, "year": None, "citations": 20, "work_type": "dataset"}]
     ix = index.build(rows(spark, items))
-    return index.Index(ix.docs.cache(), ix.postings.cache(), ix.terms, ix.fields, True)
+    ix.docs, ix.tokens = ix.docs.cache(), ix.tokens.cache()
+    return ix
 
 
 def ids(df):
