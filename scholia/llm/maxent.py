@@ -1,50 +1,55 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-p(word | history) = p(class | history) * p(word | class). The class model is maximum entropy
-over hashed features of the history: the last word, the last two words (n-grams), and the
-word before the last (skip). A word's class comes from its last bytes and length; the end of a
-text is a class of its own. Within a class a word has its smoothed share of the training
-counts, unknown words included, so that all words' probabilities sum to 1.
+p(word | history) = p(class | history) * p(slot | class, history) * p(word | slot). Both
+softmaxes are maximum entropy over hashed features of the history: for the class the last word,
+the last two words (n-grams) and the word before the last (skip); for the slot within the class
+the last word and the word before the last, each together with the class. A word's class comes
+from its last bytes and length, its slot from a hash of it; the end of a text is a class of its
+own. Words that share one of the ``CLASSES * SLOTS`` slots have their smoothed share of the
+training counts in it, unknown words included, so that all words' probabilities sum to 1: this
+last factor has no features. The feature tables have a fixed size, so on a large corpus many
+rare histories share a row; the counts grow with the corpus.
 
 Training: in each round every task takes gradient steps over its own documents from the
-round's common weights, and the weights that the tasks end with are averaged by their tokens
-(a table of fixed size). Each training document is used in one of the ``ROUNDS`` rounds.
-
-Counts: documents are dealt to parts by a hash; a part asks for each of its distinct words
-once, in packed arrays by bucket of the word's hash, so a frequent word costs one entry per
-part and not per text. A bucket adds up its words' counts over all parts and answers each
-part; the totals travel with the answers. Texts go through one shuffle, used by both steps.
-
-Edge cases: a null or empty text is its end alone; without training documents all counts are
-0 and base scores 0; a null doc_id counts as the text 'null' for the split; repeated rows each
-get their row and count; other columns are ignored, whatever their names; an empty table gives
-no rows.
+round's common weights, and the weights that the tasks end with are averaged by their tokens,
+in a tree of tasks. Each training document is used in one of the ``ROUNDS`` rounds.
+
+Counts: documents are dealt by a hash to parts of about ``PART_BYTES``; a part asks for each of
+its distinct words once, in packed arrays by bucket of the word's hash, so a frequent word costs
+one entry per part and not per text. A bucket adds up its words' counts over all parts and
+answers each part. Texts go through one shuffle, used by both steps.
+
+Edge cases: a null or empty text is its end alone; a text of any length is scored whole, in the
+memory of its part's task; without training documents all counts are 0 and base scores 0; words
+that tie are not told apart; a null doc_id counts as the text 'null' for the split; repeated
+rows each get their row and count; other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import partitions, remainder
+from scholia.llm.common import cut, partitions, remainder, tree_sum
 from scholia.llm.textbytes import NONSPACE, blocks, buffer, mix, words
 
-CLASSES = 32
-FEATURE_BITS = 13
+CLASSES, SLOTS = 32, 32
+#: Rows of each kind of features, of classes and of slots.
+CLASS_BITS, SLOT_BITS = 13, 14
 ROUNDS = 2
 RATE = 0.5
 BATCH = 1 << 14
-PART_ROWS = 4000
-MOST_BUCKETS = 4096
+PART_BYTES, PART_ROWS = 13_000_000, 16_000
 BLOCK_BYTES = 1 << 19
 #: The end's id as a token.
 END = np.uint64(0x5851F42D4C957F2D)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ROWS = 1 + 3 * (1 << FEATURE_BITS)
-_CHUNK = 1024
+#: One table: a row of biases and three kinds of features for classes, then a row of biases for each class and two kinds for slots.
+_SLOT0 = 1 + 3 * (1 << CLASS_BITS)
+_ROWS = _SLOT0 + CLASSES + 2 * (1 << SLOT_BITS)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +69,13 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids, cls, ptr
 
 
-def histories(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Feature rows of each token: last word, last two, the one before the last; all of the same text (row 0 is the bias)."""
+def slots(ids: np.ndarray) -> np.ndarray:
+    """The slot of each token within its class."""
+    return (mix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(5)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def histories(ids: np.ndarray, cls: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table for each token: (for its class, for its slot). The history is of the same text."""
     first = np.zeros(len(ids), bool)
     first[ptr[:-1]] = True
     one = np.zeros_like(ids)
@@ -74,38 +84,83 @@ def histories(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     two = np.zeros_like(ids)
     two[1:] = one[:-1]
     two[first] = 2
-    mask, out = np.uint64((1 << FEATURE_BITS) - 1), np.empty((3, len(ids)), np.int64)
-    for k, key in enumerate((mix(one), mix(one * np.uint64(31) + mix(two)), mix(two * np.uint64(17)))):
-        out[k] = (key & mask).astype(np.int64) + 1 + (k << FEATURE_BITS)
-    return out
+    a, b = mix(one), mix(two * np.uint64(17))
+    mask = np.uint64((1 << CLASS_BITS) - 1)
+    for_class = np.empty((4, len(ids)), np.int64)
+    for_class[0] = 0
+    for k, key in enumerate((a, mix(one * np.uint64(31) + mix(two)), b)):
+        for_class[k + 1] = (key & mask).astype(np.int64) + 1 + (k << CLASS_BITS)
+    mask, c = np.uint64((1 << SLOT_BITS) - 1), cls.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for_slot = np.empty((3, len(ids)), np.int64)
+    for_slot[0] = _SLOT0 + cls
+    for k, key in enumerate((a, b)):
+        for_slot[k + 1] = (((key + c) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS) & mask).astype(np.int64) + _SLOT0 + CLASSES + (k << SLOT_BITS)
+    return for_class, for_slot
+
+
+def softmax(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums) of the choices of tokens."""
+    z = weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z.sum(axis=1, keepdims=True)
+
+
+def _sums(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin at ``at``: most are short, and their rows are added place by place."""
+    size = np.diff(np.append(at, len(z)))
+    g, live, k = z[at], np.flatnonzero(size > 1), 1
+    while len(live) and k < 8:
+        g[live] += z[at[live] + k]
+        k += 1
+        live = live[size[live] > k]
+    for i in live.tolist():
+        g[i] += z[at[i] + k : at[i] + size[i]].sum(axis=0)
+    return g
+
+
+def _step(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
+    """One gradient step (AdaGrad by row) on the choices y."""
+    z, total = softmax(weights, rows)
+    z /= total
+    z[np.arange(len(y)), y] -= 1
+    for own in rows:
+        order = np.argsort(own.astype(np.uint16), kind="stable")
+        s = own[order]
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        g = _sums(z[order], at) if len(at) > 1 else z.sum(axis=0, keepdims=True)
+        row = s[at]
+        square[row] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        weights[row] -= g * (RATE / np.sqrt(square[row] + 1))[:, None]
 
 
-def logits(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Class scores of tokens."""
-    return weights[0] + weights[feats[0]] + weights[feats[1]] + weights[feats[2]]
+def steps(weights: np.ndarray, square: np.ndarray, ids: np.ndarray, cls: np.ndarray, ptr: np.ndarray) -> None:
+    """Gradient steps over texts, in batches of BATCH tokens."""
+    for_class, for_slot = histories(ids, cls, ptr)
+    slot = slots(ids)
+    for a in range(0, len(ids), BATCH):
+        b = a + BATCH
+        _step(weights, square, for_class[:, a:b], cls[a:b])
+        word = np.flatnonzero(cls[a:b] != CLASSES - 1) + a  # the end's class has one member
+        if len(word):
+            _step(weights, square, for_slot[:, word], slot[word])
 
 
-def steps(weights: np.ndarray, square: np.ndarray, ids: np.ndarray, cls: np.ndarray, ptr: np.ndarray) -> None:
-    """Gradient steps (AdaGrad by feature) over texts, in batches of BATCH tokens."""
-    feats = histories(ids, ptr)
+def factors(weights: np.ndarray, ids: np.ndarray, cls: np.ndarray, slot: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """ln p(class | history) + ln p(slot | class, history) of each token."""
+    for_class, for_slot = histories(ids, cls, ptr)
+    out = np.zeros(len(ids))
     for a in range(0, len(ids), BATCH):
-        f, y = feats[:, a : a + BATCH], cls[a : a + BATCH]
-        z = logits(weights, f)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(y)), y] -= 1
-        for own in f:
-            order = np.argsort(own.astype(np.uint16), kind="stable")
-            s = own[order]
-            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            g = np.add.reduceat(z[order], at, axis=0)
-            row = s[at]
-            square[row] += (g * g).mean(axis=1)
-            weights[row] -= RATE * g / np.sqrt(square[row] + 1)[:, None]
-        g = z.sum(axis=0)
-        square[0] += (g * g).mean()
-        weights[0] -= RATE * g / np.sqrt(square[0] + 1)
+        b = min(len(ids), a + BATCH)
+        z, total = softmax(weights, for_class[:, a:b])
+        out[a:b] = np.log(np.maximum(z[np.arange(b - a), cls[a:b]], 1e-30)) - np.log(total[:, 0])
+        word = np.flatnonzero(cls[a:b] != CLASSES - 1) + a
+        if len(word):
+            z, total = softmax(weights, for_slot[:, word])
+            out[word] += np.log(np.maximum(z[np.arange(len(word)), slot[word]], 1e-30)) - np.log(total[:, 0])
+    return out
 
 
 def train(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
@@ -123,18 +178,13 @@ def train(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> np.ndar
                     steps(own, square, ids, cls, ptr)
                     n += len(ids)
             if n:
-                parts = [own[i : i + _CHUNK].astype(np.float32).tobytes() for i in range(0, _ROWS, _CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * len(parts), pa.int64())], ["chunk", "w", "n"])
-
-        def mean(key, pdf):
-            n = pdf["n"].to_numpy(np.float64)
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * m for x, m in zip(pdf["w"], n)) / n.sum()
-            return pd.DataFrame({"chunk": [key[0]], "w": [total.astype(np.float32).tobytes()]})
+                packed = np.append(own.ravel() * np.float32(n), np.float32(n))
+                yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], ["w"])
 
         # a table of fixed size comes back: _ROWS * CLASSES weights
-        rows = docs.where(F.col("round_") == k).select("text").mapInArrow(local, "chunk int, w binary, n long").groupBy("chunk").applyInPandas(mean, "chunk int, w binary").collect()
-        if rows:
-            weights = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(rows, key=lambda r: r.chunk)]).reshape(_ROWS, CLASSES)
+        mean = tree_sum(docs.where(F.col("round_") == k).select("text").mapInArrow(local, "w binary"), np.float32, lambda x: x[:-1] / x[-1])
+        if mean is not None:
+            weights = mean.reshape(_ROWS, CLASSES)
         common.unpersist()
     return weights
 
@@ -165,34 +215,31 @@ def _asks(buckets: int):
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """Counts over all parts of one bucket's words, for each part that asked."""
+    """Counts over all parts of one bucket's words, for each part that asked; in a row of part -1 the tokens and words of each slot."""
     ids = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("ids")]
     size = np.array([len(x) for x in ids])
     vocab, first, k = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
     counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
     cls = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("classes")])[first]
     total = np.bincount(k, counts, minlength=len(vocab)).astype(np.int64)
-    stats = np.stack([np.bincount(cls, total, minlength=CLASSES), np.bincount(cls, total > 0, minlength=CLASSES)]).astype(np.int64).tobytes()
+    leaf = cls.astype(np.int64) * SLOTS + slots(vocab)
+    stats = np.concatenate([np.bincount(leaf, total, minlength=CLASSES * SLOTS), np.bincount(leaf, total > 0, minlength=CLASSES * SLOTS)]).astype(np.int64).tobytes()
     ends = np.cumsum(size)
     out = [total[k[e - n : e]].tobytes() for n, e in zip(size, ends)]
-    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "totals": pa.array(out, pa.binary()), "stats": pa.array([stats] * len(out), pa.binary())})
+    bucket = table.column("bucket").to_pylist()
+    return pa.table({"bucket": pa.array([*bucket, bucket[0]], pa.int32()), "part": pa.array([*table.column("part").to_pylist(), -1], pa.int64()), "totals": pa.array([*out, stats], pa.binary())})
 
 
-def _scores(weights, buckets: int):
+def _scores(weights, stats, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        w = weights.value
         answers = answers.sort_by("bucket")
         _, _, _, _, k, ids, cls, ptr = _distinct(table, buckets)
         c = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("totals")])[k].astype(np.float64)
-        n_class, v_class = sum(np.frombuffer(x.as_py(), np.int64) for x in answers.column("stats")).reshape(2, CLASSES).astype(np.float64)
-        n_all, v_all = n_class.sum(), v_class.sum()
+        n_leaf, v_leaf = stats.value.reshape(2, -1).astype(np.float64)
+        n_all, v_all = n_leaf.sum(), v_leaf.sum()
         base = np.log10((c + 1) / (n_all + v_all + 1))
-        word = np.log((c + 1) / (n_class + v_class + 1)[cls])
-        feats = histories(ids, ptr)
-        for a in range(0, len(ids), BATCH):
-            z = logits(w, feats[:, a : a + BATCH]).astype(np.float64)
-            top = z.max(axis=1)
-            word[a : a + BATCH] += z[np.arange(len(z)), cls[a : a + BATCH]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        slot = slots(ids)
+        word = factors(weights.value, ids, cls, slot, ptr) + np.log((c + 1) / (n_leaf + v_leaf + 1)[cls * SLOTS + slot])
         add = lambda x: np.add.reduceat(x, ptr[:-1])  # noqa: E731  each text has a token at least
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(np.diff(ptr)), "n_known": pa.array(add((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ptr) - 1, int(n_all))), "base_score": pa.array(add(base)), "score": pa.array(add(word) / np.log(10))})
 
@@ -202,10 +249,14 @@ def _scores(weights, buckets: int):
 def score(spark: SparkSession, docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document: its tokens, the base score and the model's log10 probability."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder("doc_id", 7) == 2).alias("held_out"))
-    parts = partitions(d.count(), part_rows)
-    buckets = min(parts, MOST_BUCKETS)
+    size = d.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(partitions(size.n, part_rows), partitions(size.bytes or 0, PART_BYTES))
+    # a bucket's words come from all parts: beyond 4,096 of them 64 parts' worth lie in each
+    buckets = min(parts, max(4096, parts // 64))
     weights = spark.sparkContext.broadcast(train(spark, d.where("NOT held_out").withColumn("round_", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)))))
     dealt = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     asks = dealt.groupBy("part").applyInArrow(_asks(buckets), "bucket int, part long, ids binary, classes binary, counts binary")
-    answers = asks.groupBy("bucket").applyInArrow(_answers, "bucket int, part long, totals binary, stats binary")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scores(weights, buckets), SCHEMA)
+    answers = cut(spark, asks.groupBy("bucket").applyInArrow(_answers, "bucket int, part long, totals binary"), "word-counts")
+    found = tree_sum(answers.where("part < 0").select("totals"), np.int64)
+    stats = spark.sparkContext.broadcast(found if found is not None else np.zeros(2 * CLASSES * SLOTS, np.int64))
+    return dealt.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(_scores(weights, stats, buckets), SCHEMA)

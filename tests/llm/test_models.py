@@ -247,9 +247,48 @@ def test_language_model_counts(spark):
     assert maxent.score(spark, d.limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    ids, cls, ptr = maxent.tokens(*buffer(pa.array(["a b c a", "b"])))
+def test_word_probabilities_sum_to_one():
+    """Over all classes, slots, words of each slot and one unknown word a slot."""
+    data, offs = buffer(pa.array(["a b c a bb " + "w" * k for k in range(1, 9)]))
+    ids, cls, ptr = maxent.tokens(data, offs)
     w = np.random.default_rng(0).normal(size=(maxent._ROWS, maxent.CLASSES)).astype(np.float32)
-    z = maxent.logits(w, maxent.histories(ids, ptr)).astype(float)
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    assert np.allclose(p.sum(axis=1), 1) and cls[ptr[1] - 1] == maxent.CLASSES - 1 and len(ids) == 7
+    known = {int(i): (int(c), int(s), int((ids == i).sum())) for i, c, s in zip(ids, cls, maxent.slots(ids))}
+    history = ids[:2]
+    total = 0.0
+    for c in range(maxent.CLASSES):
+        for s in range(maxent.SLOTS) if c < maxent.CLASSES - 1 else [0]:
+            own = [n for k, (cc, ss, n) in known.items() if cc == c and (ss == s or c == maxent.CLASSES - 1)]
+            text = np.append(history, np.uint64(99))
+            p = math.exp(maxent.factors(w, text, np.append(cls[:2], c), np.append(maxent.slots(history), s), np.array([0, 3]))[2])
+            total += p * (sum((n + 1) / (sum(own) + len(own) + 1) for n in own) + 1 / (sum(own) + len(own) + 1))
+    assert abs(total - 1) < 1e-4 and len(ids) == ptr[-1]
+
+
+def test_the_model_beats_its_base_on_held_out_texts(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = maxent.score(spark, d, part_rows=300).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > 0.97 * got["sum(base_score)"] and got["sum(score)"] > got["sum(base_score)"]
+
+
+def test_features_tell_words_of_a_class_apart():
+    """Two words of one class, each after its own word only: the second factor must learn which."""
+    r = np.random.default_rng(1)
+    words = [f"{x}{y}zz" for x in "abcdefgh" for y in "abcdefgh"]
+    data, offs = buffer(pa.array(words))
+    ids, cls, ptr = maxent.tokens(data, offs)
+    one, two = next((i, j) for i in range(0, len(ids), 2) for j in range(0, i, 2) if cls[i] == cls[j] and maxent.slots(ids[[i]]) != maxent.slots(ids[[j]]))
+    a, b = words[one // 2], words[two // 2]
+    text = " ".join(f"x {a}" if r.random() < 0.5 else f"y {b}" for _ in range(4000))
+    ids, cls, ptr = maxent.tokens(*buffer(pa.array([text])))
+    w = np.zeros((maxent._ROWS, maxent.CLASSES), np.float32)
+    maxent.steps(w, np.zeros(maxent._ROWS, np.float32), ids, cls, ptr)
+    maxent.steps(w, np.zeros(maxent._ROWS, np.float32), ids, cls, ptr)
+    ids, cls, ptr = maxent.tokens(*buffer(pa.array([f"x {a}", f"x {b}", f"y {b}", f"y {a}"])))
+    p = maxent.factors(w, ids, cls, maxent.slots(ids), ptr)[[1, 4, 7, 10]]
+    assert p[0] > p[1] + 2 and p[2] > p[3] + 2
+
+
+def test_language_model_of_a_very_long_text(spark):
+    d = spark.createDataFrame([(i, "word " * 400_000 if i == 1 else "word other") for i in range(5)], "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score(spark, d).collect()}
+    assert got[1].n_tokens == 400_001 and all(r.score < 0 for r in got.values())
