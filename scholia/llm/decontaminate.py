@@ -9,12 +9,15 @@ occurrences by sampled suffix positions, and the occurrences merge into removal
 
 The benchmark is a stated query set. It goes to the tasks in blocks of at most
 ``BLOCK_WORDS`` words, each a broadcast of bounded size that is loaded by itself; the
-documents are still read once.
-
-Edge cases: a null or empty text has no words and no hits; a null benchmark text has no
-windows; an item without an id counts under the empty id; items with one id are one item;
-repeated document rows each get their row; other columns are ignored by ``scan`` and kept by
-``remove``; an empty benchmark leaves every document clean.
+documents are still read once. A shard is indexed anew for each block, and the sum of the
+blocks grows with the benchmark, which passes through the driver once: the method is meant for
+benchmarks of up to some hundred million words against any number of documents.
+
+Edge cases: a null or empty text has no words and no hits; a text of any length is one shard,
+in memory; occurrences that overlap are one span; a null benchmark text has no windows; an item
+without an id counts under the empty id; items with one id are one item; repeated document rows
+each get their row; an empty table of documents gives no rows; other columns are ignored by
+``scan`` and kept by ``remove``; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations

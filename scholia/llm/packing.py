@@ -2,17 +2,25 @@
 
 Documents are dealt to shards of about ``SHARD_ROWS`` by a hash of their id and text, so that
 no source or group of copies gathers in one. Each shard has an inverted index over its
-documents' words with BM25 weights. A seed document opens a window; the unused documents that
-BM25 ranks next to it fill it, best first, whole while they fit. What is left goes to the best
-neighbour that did not fit: it is cut at a multiple of ``GRAIN`` ids, and its rest seeds the
-next window. A document's full windows are sequences of their own.
+documents' words (by 32 bits of a word's hash) with BM25 weights. A seed document opens a
+window; the unused documents that BM25 ranks next to it fill it, best first, whole while they
+fit. What is left goes to the best neighbour that did not fit: it is cut at a multiple of
+``GRAIN`` ids, and its rest seeds the next window. A document's full windows are sequences of
+their own.
+
+A seed sees the neighbours of its own shard only, and its words that more than half of the
+shard holds are left out of its query: their weight is below ln 2, and their postings would be
+most of the work. Where nothing else is shared, documents fill windows in the order of their
+ids. Both concern which neighbours stand together, not what is packed: every id is.
 
 The tokens are made once, before the shuffle; shards see only counts, word hashes and running
 checksums at each cut point, from which a piece's checksum follows without its ids.
 
-Edge cases: a null or empty text is the end id alone; a null doc_id stays null; repeated rows
-are each packed; documents without words have no neighbours and fill windows in order; an
-empty table gives no rows; other columns are ignored, whatever their names.
+Edge cases: a null or empty text is the end id alone; a text of any length is read whole, in
+memory, and gives full windows and one rest; a null doc_id stays null; repeated rows are each
+packed; neighbours with equal scores go in order of id and length; documents without words have
+no neighbours and fill windows in order; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,7 +102,7 @@ def _tokens(path: str):
             pair, tf = np.unique(doc * max(1, len(vocab)) + k, return_counts=True)
             at = np.searchsorted(pair, np.arange(b - a + 1) * max(1, len(vocab)))
             term = (vocab[pair % max(1, len(vocab))] >> np.uint64(32)).astype(np.uint32) if len(pair) else np.zeros(0, np.uint32)
-            tf = np.minimum(tf, 65535).astype(np.uint16)
+            tf = tf.astype(np.uint32)
             raw = memoryview(ids.astype("<u4")).cast("B")
             for i in range(b - a):
                 p, q = int(ptr[i]), int(ptr[i + 1])
@@ -121,7 +129,7 @@ class Bm25:
         size = np.array([len(t) for t in terms])
         doc = np.repeat(np.arange(n), size)
         term = np.concatenate(terms) if n else np.zeros(0, np.uint32)
-        tf = (np.concatenate(counts) if n else np.zeros(0, np.uint16)).astype(np.float64)
+        tf = (np.concatenate(counts) if n else np.zeros(0, np.uint32)).astype(np.float64)
         length = np.bincount(doc, tf, minlength=n)
         order = np.argsort(term, kind="stable")
         _, first, df = np.unique(term[order], return_index=True, return_counts=True)
@@ -151,7 +159,7 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """All pieces of one shard; the order of its rows does not matter."""
     pdf = pdf.sort_values(["doc_id", "n", "tail", "full"], kind="stable").reset_index(drop=True)
     ids, n = pdf["doc_id"].tolist(), pdf["n"].tolist()
-    index = Bm25([np.frombuffer(x, np.uint32) for x in pdf["terms"]], [np.frombuffer(x, np.uint16) for x in pdf["counts"]])
+    index = Bm25([np.frombuffer(x, np.uint32) for x in pdf["terms"]], [np.frombuffer(x, np.uint32) for x in pdf["counts"]])
     out: list[tuple] = []
     seq = int(key[0]) << 32
 

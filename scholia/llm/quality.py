@@ -6,8 +6,10 @@ are sorted together with their places, equal neighbours give the repeated places
 words they cover are summed place by place. The sort is left out where all windows differ.
 
 Edge cases: a null or blank text has no words and fails the base rule; texts of fewer than
-5 words have no window; repeated rows each get their row; a column of the table that has a
-name of this module's is kept by ``keep`` and ignored by ``measure``; an empty table gives none.
+5 words have no window; a text of any length is counted whole, its words in one row's memory; a
+count that is exactly at a threshold passes; repeated rows each get their row; a column of the
+table that has a name of this module's is kept by ``keep`` and ignored by ``measure``; an empty
+table gives none.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ class Encoder:
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.hash, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
         """Add sorted new words."""
@@ -53,7 +53,7 @@ class Encoder:
         size = np.diff(end, prepend=0)
         at = np.searchsorted(self.hash, h)
         self.hash, self.first, self.size = np.insert(self.hash, at, h), np.insert(self.first, at, len(self.flat) + end - size), np.insert(self.size, at, size)
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
     def _whole(self, raw: bytes) -> np.ndarray:
         """Ids of one text by the tokenizer alone."""
@@ -65,9 +65,9 @@ class Encoder:
                 if cut < a:
                     cut = min([x for x in (text.find(" ", b), text.find("\n", b)) if x >= 0], default=len(text))
                 b = min(cut + 1, len(text))
-            out.append(np.array(self.tok.encode(text[a:b], add_special_tokens=False).ids, np.uint16))
+            out.append(np.array(self.tok.encode(text[a:b], add_special_tokens=False).ids, np.uint32))
             a = b
-        return np.concatenate(out) if out else np.zeros(0, np.uint16)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end); each text's ids end with EOS."""
@@ -121,7 +121,7 @@ class Encoder:
         for i, ids in whole.items():
             per[i] = len(ids) + 1
         ptr = np.concatenate([[0], np.cumsum(per)])
-        out = np.full(ptr[-1], EOS, np.uint16)
+        out = np.full(ptr[-1], EOS, np.uint32)
         total = np.cumsum(size)
         if len(size):
             begin = total - size
