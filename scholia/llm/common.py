@@ -103,7 +103,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return dealt_join(left, right, key, hot_keys(left, key, hot_rows), how)
 
 
-def tree_sum(parts: DataFrame, kind: type = np.float64, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x, fan: int = 16) -> np.ndarray | None:
+def tree_sum(parts: DataFrame, kind: type = np.float64, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x, fan: int = 4) -> np.ndarray | None:
     """finish() of the sum of the packed arrays (binary, one column, of one length and kind) of all rows. They are added in a tree of tasks, of which none holds more than a few; only the end's result comes to the driver. None without rows."""
     ready(parts.sparkSession)
     sums = parts.rdd.mapPartitionsWithIndex(lambda i, rows: ((i, np.frombuffer(r[0], kind)) for r in rows))

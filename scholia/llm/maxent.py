@@ -41,7 +41,7 @@ CLASSES, SLOTS = 32, 32
 CLASS_BITS, SLOT_BITS = 13, 14
 ROUNDS = 2
 RATE = 0.5
-BATCH = 1 << 14
+BATCH = 1 << 13
 PART_BYTES, PART_ROWS = 13_000_000, 16_000
 BLOCK_BYTES = 1 << 19
 #: The end's id as a token.
@@ -100,12 +100,14 @@ def histories(ids: np.ndarray, cls: np.ndarray, ptr: np.ndarray) -> tuple[np.nda
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(exponentials, their sums) of the choices of tokens."""
-    z = weights[rows[0]]
+    z = np.take(weights, rows[0], axis=0)
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
+        z += np.take(weights, r, axis=0, out=more, mode="clip")  # the mode that writes to out directly
+    if float(z.max(initial=0.0)) > 60 or float(z.min(initial=0.0)) < -60:  # else float32 holds the exponentials as they are
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    return z, z.sum(axis=1, keepdims=True)
+    return z, z @ np.ones((z.shape[1], 1), z.dtype)
 
 
 def _sums(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -143,9 +145,7 @@ def steps(weights: np.ndarray, square: np.ndarray, ids: np.ndarray, cls: np.ndar
     for a in range(0, len(ids), BATCH):
         b = a + BATCH
         _step(weights, square, for_class[:, a:b], cls[a:b])
-        word = np.flatnonzero(cls[a:b] != CLASSES - 1) + a  # the end's class has one member
-        if len(word):
-            _step(weights, square, for_slot[:, word], slot[word])
+        _step(weights, square, for_slot[:, a:b], slot[a:b])
 
 
 def factors(weights: np.ndarray, ids: np.ndarray, cls: np.ndarray, slot: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -156,10 +156,9 @@ def factors(weights: np.ndarray, ids: np.ndarray, cls: np.ndarray, slot: np.ndar
         b = min(len(ids), a + BATCH)
         z, total = softmax(weights, for_class[:, a:b])
         out[a:b] = np.log(np.maximum(z[np.arange(b - a), cls[a:b]], 1e-30)) - np.log(total[:, 0])
-        word = np.flatnonzero(cls[a:b] != CLASSES - 1) + a
-        if len(word):
-            z, total = softmax(weights, for_slot[:, word])
-            out[word] += np.log(np.maximum(z[np.arange(len(word)), slot[word]], 1e-30)) - np.log(total[:, 0])
+        z, total = softmax(weights, for_slot[:, a:b])
+        # the end's class has one member
+        out[a:b] += np.where(cls[a:b] == CLASSES - 1, 0.0, np.log(np.maximum(z[np.arange(b - a), slot[a:b]], 1e-30)) - np.log(total[:, 0]))
     return out
 
 
