@@ -97,12 +97,14 @@ def _tokens(path: str):
             ids, ptr = enc.encode(data, own)
             w = words(data, own, ALNUM)
             doc = np.repeat(np.arange(b - a), np.diff(w.ptr))
-            # (document, word) pairs: words as numbers of the block, so that a pair fits 64 bits
-            vocab, k = np.unique(w.h, return_inverse=True)
-            pair, tf = np.unique(doc * max(1, len(vocab)) + k, return_counts=True)
-            at = np.searchsorted(pair, np.arange(b - a + 1) * max(1, len(vocab)))
-            term = (vocab[pair % max(1, len(vocab))] >> np.uint64(32)).astype(np.uint32) if len(pair) else np.zeros(0, np.uint32)
-            tf = tf.astype(np.uint32)
+            # (document, word) pairs in order, a word by 32 bits of its hash: equal ones are counted
+            pair = (doc.astype(np.uint64) << np.uint64(32)) | (w.h >> np.uint64(32))
+            pair.sort()
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(pair))).astype(np.uint32)
+            pair = pair[first]
+            at = np.searchsorted(pair, np.arange(b - a + 1).astype(np.uint64) << np.uint64(32))
+            term = (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             raw = memoryview(ids.astype("<u4")).cast("B")
             for i in range(b - a):
                 p, q = int(ptr[i]), int(ptr[i + 1])
