@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
 ``documents`` (the last: the packed pieces). ``run`` writes each stage's rows as Parquet to the
 shared folder and reads them as the next one's documents.
+
+What a stage does with odd rows: quality rules drop null, empty and blank texts with all others
+that fail; of a class of near-duplicates the row with the least doc_id stays, one of them if rows
+repeat it; decontamination cuts benchmark passages out of a text and drops a document of which
+more than half is benchmark; personal data is replaced by its kind, and no row goes; packing
+gives every id one place. Texts of any length go through whole. A null doc_id is kept until the
+end. Other columns of the documents, whatever their names, are kept up to packing. An empty table
+passes every stage and gives no pieces.
 """
 
 from __future__ import annotations
