@@ -103,16 +103,54 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return dealt_join(left, right, key, hot_keys(left, key, hot_rows), how)
 
 
-def tree_sum(parts: DataFrame, kind: type = np.float64, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x, fan: int = 4) -> np.ndarray | None:
-    """finish() of the sum of the packed arrays (binary, one column, of one length and kind) of all rows. They are added in a tree of tasks, of which none holds more than a few; only the end's result comes to the driver. None without rows."""
+#: Columns of packed arrays.
+PACKED = "packed binary, filled int"
+
+
+def packed(x: np.ndarray) -> tuple[bytes, int]:
+    """An array's bytes and -1; of a mostly empty one the places and values that are not 0, and how many they are."""
+    at = np.flatnonzero(x)
+    if len(at) * (4 + x.itemsize) < x.nbytes:
+        return at.astype(np.uint32).tobytes() + x[at].tobytes(), len(at)
+    return x.tobytes(), -1
+
+
+def packed_batch(x: np.ndarray) -> pa.RecordBatch:
+    """One row of PACKED."""
+    raw, filled = packed(x)
+    return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([filled], pa.int32())], ["packed", "filled"])
+
+
+def _add_packed(total: np.ndarray, raw: pa.Buffer, filled: int) -> None:
+    if filled < 0:
+        total += np.frombuffer(raw, total.dtype)
+    else:  # places are distinct
+        total[np.frombuffer(raw, np.uint32, filled)] += np.frombuffer(raw, np.uint8)[4 * filled :].copy().view(total.dtype)
+
+
+def tree_sum(parts: DataFrame, size: int, kind: type = np.float64, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x, fan: int = 4) -> np.ndarray | None:
+    """finish() of the sum of the arrays (of that size and kind) in all rows of PACKED. They are added in a tree of groups of fan tasks' arrays, so that none holds more than a few; only the end's result comes to the driver. None without rows."""
     ready(parts.sparkSession)
-    sums = parts.rdd.mapPartitionsWithIndex(lambda i, rows: ((i, np.frombuffer(r[0], kind)) for r in rows))
-    n = sums.getNumPartitions()
-    while n > 1:
+
+    def adding(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            total = np.zeros(size, kind)
+            for raw, filled in zip(table.column("packed"), table.column("filled").to_pylist()):
+                _add_packed(total, raw.as_buffer(), filled)
+            out = finish(total) if last else total
+            raw, filled = (out.tobytes(), -1) if last else packed(out)
+            return pa.table({"k": table.column("k").slice(0, 1), "packed": pa.array([raw], pa.binary()), "filled": pa.array([filled], pa.int32()), "kind": pa.array([out.dtype.str], pa.string())})
+
+        return run
+
+    rows, n = parts.select(F.spark_partition_id().cast("long").alias("k"), "packed", "filled"), parts.rdd.getNumPartitions()
+    while True:
         n = partitions(n, fan)
-        sums = sums.map(lambda x, n=n: (x[0] % n, x[1])).reduceByKey(lambda a, b: a + b, n)
-    got = sums.map(lambda x: (0, x[1])).reduceByKey(lambda a, b: a + b, 1).map(lambda x: finish(x[1])).collect()
-    return got[0] if got else None
+        rows = rows.select((F.col("k") % n).alias("k"), "packed", "filled").groupBy("k").applyInArrow(adding(n == 1), f"k long, {PACKED}, kind string")
+        if n == 1:
+            break
+    got = rows.collect()
+    return np.frombuffer(got[0].packed, got[0].kind) if got else None
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

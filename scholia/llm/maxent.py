@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, partitions, remainder, tree_sum
+from scholia.llm.common import PACKED, cut, packed_batch, partitions, remainder, tree_sum
 from scholia.llm.textbytes import NONSPACE, blocks, buffer, mix, words
 
 CLASSES, SLOTS = 32, 32
@@ -177,13 +177,13 @@ def train(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> np.ndar
                     steps(own, square, ids, cls, ptr)
                     n += len(ids)
             if n:
-                packed = np.append(own.ravel() * np.float32(n), np.float32(n))
-                yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], ["w"])
+                # rows that the task's texts do not touch stay 0
+                yield packed_batch(np.append((own - common.value).ravel() * np.float32(n), np.float32(n)))
 
         # a table of fixed size comes back: _ROWS * CLASSES weights
-        mean = tree_sum(docs.where(F.col("round_") == k).select("text").mapInArrow(local, "w binary"), np.float32, lambda x: x[:-1] / x[-1])
+        mean = tree_sum(docs.where(F.col("round_") == k).select("text").mapInArrow(local, PACKED), _ROWS * CLASSES + 1, np.float32, lambda x: x[:-1] / x[-1])
         if mean is not None:
-            weights = mean.reshape(_ROWS, CLASSES)
+            weights = weights + mean.reshape(_ROWS, CLASSES)
         common.unpersist()
     return weights
 
@@ -256,6 +256,6 @@ def score(spark: SparkSession, docs: DataFrame, part_rows: int = PART_ROWS) -> D
     dealt = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     asks = dealt.groupBy("part").applyInArrow(_asks(buckets), "bucket int, part long, ids binary, classes binary, counts binary")
     answers = cut(spark, asks.groupBy("bucket").applyInArrow(_answers, "bucket int, part long, totals binary"), "word-counts")
-    found = tree_sum(answers.where("part < 0").select("totals"), np.int64)
+    found = tree_sum(answers.where("part < 0").select(F.col("totals").alias("packed"), F.lit(-1).alias("filled")), 2 * CLASSES * SLOTS, np.int64)
     stats = spark.sparkContext.broadcast(found if found is not None else np.zeros(2 * CLASSES * SLOTS, np.int64))
     return dealt.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(_scores(weights, stats, buckets), SCHEMA)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, dealt_join, hot_keys, map_batches, spread_join, tree_sum
+from scholia.llm.common import PACKED, cut, dealt_join, hot_keys, map_batches, packed_batch, spread_join, tree_sum
 from scholia.llm.components import LOCAL_EDGES, components
 from scholia.llm.textbytes import ALNUM, blocks, buffer, mix, windows, words
 
@@ -50,7 +50,7 @@ BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
 DF_BITS = 20
 IDF_SPREAD = 1.0
-LEVELS, STEP = 32, 0.125
+LEVELS, STEP = 24, 0.125
 BLOCK_BYTES = 1 << 20
 #: Pivots of an open bucket in its first round, and how many times more in each that follows.
 PIVOTS, PIVOT_GROWTH = 16, 16
@@ -141,12 +141,13 @@ def _frequencies(spark: SparkSession, nodes: DataFrame) -> np.ndarray:
             data, offs = buffer(batch.column(0))
             for a, b in blocks(offs, BLOCK_BYTES):
                 _, h, _ = shingle_sets(data, offs[a : b + 1])
-                df[:-1] += np.bincount((h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), minlength=1 << DF_BITS).astype(np.uint64)
+                at, many = np.unique((h & np.uint64((1 << DF_BITS) - 1)).astype(np.uint32), return_counts=True)
+                df[at] += many.astype(np.uint64)
             df[-1] += np.uint64(batch.num_rows)
         if df[-1]:
-            yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["df"])
+            yield packed_batch(df)
 
-    idf = tree_sum(nodes.select("text").mapInArrow(count, "df binary"), np.uint64, lambda df: idf_levels(df[:-1].astype(np.float64), int(df[-1])))
+    idf = tree_sum(nodes.select("text").mapInArrow(count, PACKED), (1 << DF_BITS) + 1, np.uint64, lambda df: idf_levels(df[:-1].astype(np.float64), int(df[-1])))
     return np.zeros(1 << DF_BITS, np.float32) if idf is None else idf
 
 

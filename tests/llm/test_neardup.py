@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from scholia.llm import neardup as N
-from scholia.llm.common import spread_join
+from scholia.llm.common import PACKED, packed_batch, spread_join, tree_sum
 from scholia.llm.components import components
 from scholia.llm.textbytes import buffer
 
@@ -225,3 +225,17 @@ def test_very_long_text(spark):
     long = " ".join(f"w{r.randrange(10**5)}" for _ in range(300_000))
     d = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2 w3")], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in N.classes(spark, d).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_tree_sum_of_full_and_empty_arrays(spark):
+    def make(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                x = np.zeros(1000, np.int64)
+                x[: 1000 if i % 3 == 0 else i] = i
+                yield packed_batch(x)
+
+    want = sum(np.where(np.arange(1000) < (1000 if i % 3 == 0 else i), i, 0) for i in range(40))
+    for parts in (1, 2, 9):
+        assert (tree_sum(spark.range(40, numPartitions=parts).mapInArrow(make, PACKED), 1000, np.int64, fan=2) == want).all()
+    assert tree_sum(spark.range(0).mapInArrow(make, PACKED), 1000, np.int64) is None
