@@ -48,9 +48,8 @@ RULES = (
     Rule("repeated lines to lines", "n_dup_lines", "n_lines", 0, 400),
 )
 
-_BLANKS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Blanks, symbols and capital letters, as classes of patterns. ``translate`` would make an object of every character.
+_BLANK, _SYMBOL, _CAPITAL = r"[ \t-\r]", r"[#*$%&|<>]", "[A-ZÀ-ÖØ-Þ]"
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
@@ -58,14 +57,9 @@ def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
     return " AND ".join(f"(n_words < {r.words} OR (1000 * {r.count} >= {r.low} * {r.base} AND 1000 * {r.count} <= {r.high} * {r.base}))" for r in rules)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def _repeated(words: Column, n_windows: Column) -> Column:
-    """Words within 5-word windows that are found twice or more."""
-    hashes = F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(*(F.element_at(words, (i + k).cast("int")) for k in range(5))))
-    return hashes
+def _windows(hashes: Column, n_windows: Column) -> Column:
+    """A hash of each 5 consecutive words, from the words' own."""
+    return F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(*(F.element_at(hashes, (i + k).cast("int")) for k in range(5))))
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -74,11 +68,12 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     d = d.select(
         "doc_id",
         "t_",
-        F.filter(F.split(F.translate(F.col("t_"), _BLANKS[1:], " " * 5), " +"), lambda x: x != "").alias("w_"),
-        F.filter(F.split("t_", "\n"), lambda x: F.translate(x, _BLANKS, "") != "").alias("l_"),
+        F.filter(F.split("t_", _BLANK + "+"), lambda x: x != "").alias("w_"),
+        F.filter(F.split("t_", "\n"), lambda x: F.rlike(x, F.lit(r"[^ \t-\r]"))).alias("l_"),
     )
     d = d.withColumn("n_words", F.size("w_").cast("long"))
-    d = d.withColumn("h_", F.when(F.col("n_words") >= 5, _repeated(F.col("w_"), (F.col("n_words") - 4).cast("int"))).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("x_", F.transform("w_", lambda x: F.xxhash64(x)))
+    d = d.withColumn("h_", F.when(F.col("n_words") >= 5, _windows(F.col("x_"), (F.col("n_words") - 4).cast("int"))).otherwise(F.array().cast("array<bigint>")))
     pairs = F.array_sort(F.zip_with("h_", F.sequence(F.lit(0), F.size("h_") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("s_", F.when(F.size(F.array_distinct("h_")) < F.size("h_"), pairs))
     # repeated windows' places in order, then the words each adds to those before it
@@ -91,13 +86,14 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     d = d.select(
         "doc_id",
         "n_words",
-        F.length(F.translate("t_", _BLANKS, "")).cast("long").alias("word_chars"),
-        _without(F.col("t_"), _SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w_", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t_", F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("l_").cast("long").alias("n_lines"),
-        F.size(F.filter("w_", lambda x: F.translate(x, _UPPER, _LOWER).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
-        _without(F.col("t_"), _UPPER + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)).cast("long").alias("n_upper"),
+        # stop words are of ASCII letters whose other lower-case origins (the Kelvin sign) stand in none of them
+        F.size(F.filter("w_", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+        F.regexp_count("t_", F.lit(_CAPITAL)).cast("long").alias("n_upper"),
     )
     d = d.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
     d = d.withColumn("kept", F.expr(f"NOT base_failed AND {rules_sql(rules)}"))
