@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -161,10 +162,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+                out = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what freed arrays took to the machine: a worker lives on for the next tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def remainder(col: Column | str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("null")).cast("binary")) % n

@@ -36,7 +36,7 @@ from scholia.llm.textbytes import ALNUM, Words, blocks, buffer, words
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 
 
