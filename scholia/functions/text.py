@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,20 +77,18 @@ def excerpt(c: Column, limit: int) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.coalesce(kept, head), F.lit(" ...")))
 
 
-def _shifted(arr: Column, by: int) -> Column:
-    """Each place's neighbour: the one before (-1) or after (1); null at the end. For zip_with, as a lambda that looks into an array expression would evaluate it anew each time."""
-    n = F.size(arr)
-    none = F.transform(F.slice(arr, 1, 1), lambda x: F.when(F.lit(False), x))
-    return F.when(n > 0, F.concat(none, F.slice(arr, F.lit(1), n - 1)) if by < 0 else F.concat(F.slice(arr, F.lit(2), n), none)).otherwise(arr)
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value evaluated once: an expression that stands in several places is else evaluated in each."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def join_distinct(arr: Column, sep: str = "; ") -> Column:
     """Trimmed non-blank items, the first spelling of each whatever its case, in order; null if none."""
     items = F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
-    ordered = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("l"), i.alias("i"), x.alias("x"))))
+    ordered = F.sort_array(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("l"), i.alias("i"), x.alias("x"))))
     # sorted by spelling, an item is the first of its kind if the one before it differs
-    first = F.filter(F.zip_with(ordered, _shifted(ordered, -1), lambda x, y: F.when(y.isNull() | (y["l"] != x["l"]), F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x.isNotNull())
-    return F.when(F.size(first) > 0, F.array_join(F.transform(F.array_sort(first), lambda x: x["x"]), sep))
+    first = _bound(ordered, lambda o: F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1)["l"] != x["l"]), F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x.isNotNull()))
+    return F.nullif(F.array_join(F.transform(F.sort_array(first), lambda x: x["x"]), sep), F.lit(""))
 
 
 def split_names(c: Column) -> Column:
@@ -131,9 +131,9 @@ def full_date(year: Column, month: Column, day: Column) -> Column:
 def inverted_index_text(m: Column) -> Column:
     """A text from word -> positions: words in order of position, gaps and negative positions left out; the later entry wins a place."""
     entries = F.flatten(F.transform(F.map_entries(m), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(F.filter(entries, lambda x: x["p"] >= 0))
-    last = F.filter(F.zip_with(ordered, _shifted(ordered, 1), lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x["w"])), lambda w: w.isNotNull())
-    return F.when(F.size(last) > 0, F.array_join(last, " "))
+    ordered = F.sort_array(F.filter(entries, lambda x: x["p"] >= 0))
+    last = _bound(ordered, lambda o: F.filter(F.transform(o, lambda x, i: F.when(F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)), x["w"])), lambda w: w.isNotNull()))
+    return _bound(last, lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")))
 
 
 def hard_split(words: Column, target: int = 300, overlap: int = 50, least: int = 30) -> Column:
