@@ -28,7 +28,7 @@ def _bucket(buckets: int) -> Column:
 
 @dataclass
 class Index:
-    """docs: the stored rows. fields: field, n, mean. An index that was built holds tokens (field, id, tokens), from which postings are made for the terms that are asked for; one that was saved holds all postings and terms by bucket."""
+    """docs: the stored rows. fields: field, n, mean. An index that was built holds tokens (field, id, tokens), from which postings are made for the terms that are asked for, and the same as columns of docs by field (analysed); one that was saved holds all postings and terms by bucket."""
 
     docs: DataFrame
     fields: DataFrame
@@ -37,6 +37,7 @@ class Index:
     saved_postings: DataFrame | None = None
     saved_terms: DataFrame | None = None
     buckets: int = 0
+    analysed: dict[str, Column] | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -108,4 +109,4 @@ def build(docs: DataFrame, stemmed: bool = True, fields: dict[str, Column] | Non
     tokens = texts.select("field", "id", analyse(F.col("text")).alias("tokens"))
     stats = tokens.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
     stats = stats.where("total > 0").select("field", "n", (F.col("total") / F.col("n")).alias("mean"))
-    return Index(docs, stats, stemmed, tokens.where("size(tokens) > 0"))
+    return Index(docs, stats, stemmed, tokens.where("size(tokens) > 0"), analysed={f: analyse(c) for f, c in fields.items()})

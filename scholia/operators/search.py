@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from scholia.functions import scoring
 from scholia.functions.analysis import analyze, analyze_column, plain_tokens
+from scholia.operators import batch
 from scholia.operators.index import Index
 
 RELEVANCE, CITATIONS, YEAR = "relevance", "citations", "year"
@@ -160,11 +161,13 @@ def ranked(index: Index, queries: DataFrame, filters: Filters | None = None, all
 def search(index: Index, queries: DataFrame, k: int, filters: Filters | None = None, allowed: DataFrame | None = None, sort: str = RELEVANCE, prior: float = 0.0, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
     """The k best documents of each query, with rank. A blank query finds nothing here: see browse()."""
     if sort == RELEVANCE and not prior:  # the scores alone decide: stored columns are read for what is left
-        parts = breakdown(index, queries, boosts)
         docs = matching(index, filters or Filters(), allowed)
-        if docs is not index.docs:
-            parts = parts.join(docs.select("id"), "id", "left_semi")
-        found = scores(parts)
+        found = batch.best(index, docs, query_terms(index, queries).select("query_id", "term"), k, boosts or scoring.FIELD_BOOSTS, digits)
+        if found is None:
+            parts = breakdown(index, queries, boosts)
+            if docs is not index.docs:
+                parts = parts.join(docs.select("id"), "id", "left_semi")
+            found = scores(parts)
         found = found.withColumn("score", F.round("score", digits)) if digits is not None else found
         return top(found, k).join(_stored(index.docs), "id")
     return top(ranked(index, queries, filters, allowed, prior if sort == RELEVANCE else 0.0, boosts, digits), k, sort)
