@@ -7,6 +7,7 @@ does not grow with the number of pairs. The arithmetic is that of ``functions.sc
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
@@ -24,8 +25,8 @@ from scholia.session import share_code
 
 #: Fewer query terms make few pairs, which are joined and summed as a plan; more of them, or more results, are not held by each task.
 FEW_TERMS, MOST_TERMS, MOST_BEST = 64, 1_000_000, 1_000_000
-#: Pairs of a document and a query, and sums to them, that a worker holds at once (a single document may have more).
-CELLS = 1 << 20
+#: Tokens, and pairs of a document and a query with the addends to them, that a worker works on at once (a single document may have more).
+TOKENS, CELLS = 1 << 18, 1 << 19
 
 
 @dataclass
@@ -99,13 +100,32 @@ def _parts(batch: pa.RecordBatch, t: Terms) -> tuple[np.ndarray, np.ndarray, np.
     return key // len(t.words), key % len(t.words), score
 
 
+def _cuts(cost: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows whose costs sum to about most."""
+    ends = [*np.flatnonzero(np.diff(np.cumsum(cost) // most)) + 1, len(cost)]
+    return list(zip([0, *ends], ends))
+
+
+def _blocks(batch: pa.RecordBatch, t: Terms) -> Iterator[pa.RecordBatch]:
+    lengths = [pc.fill_null(pc.list_value_length(batch.column(f)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in t.weights]
+    for first, end in _cuts(sum(lengths), TOKENS):
+        yield batch.slice(first, end - first)
+
+
+def _give_back() -> None:
+    """Return what freed arrays took to the machine: a worker lives on for the next tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _score(batch: pa.RecordBatch, t: Terms, out: Best) -> None:
     doc, term, score = _parts(batch, t)
     ids, n = batch.column("id").to_numpy(zero_copy_only=False), len(t.query_ids)
     fan = t.ptr[term + 1] - t.ptr[term]
-    chunk = np.cumsum(n + np.bincount(doc, fan, batch.num_rows).astype(np.int64)) // CELLS
-    ends = [*np.flatnonzero(np.diff(chunk)) + 1, batch.num_rows]
-    for first, end in zip([0, *ends], ends):
+    for first, end in _cuts(n + np.bincount(doc, fan, batch.num_rows).astype(np.int64), CELLS):
         own = slice(*np.searchsorted(doc, (first, end)))
         many = fan[own]
         row = np.repeat(np.arange(len(many)), many)
@@ -166,7 +186,10 @@ def best(index: Index, docs: DataFrame, terms: DataFrame, k: int, boosts: dict[s
         for batch in batches:
             if batch.num_rows:
                 kind = batch.schema.field("id").type
-                _score(batch, t, out)
+                for block in _blocks(batch, t):
+                    _score(block, t, out)
+            batch = block = None
+            _give_back()
         if out.parts:
             query, score, ids = out.thin()
             yield pa.RecordBatch.from_arrays([t.query_ids.take(pa.array(query)), pa.array(ids, kind), pa.array(score)], ["query_id", "id", "score"])

@@ -159,7 +159,7 @@ def ranked(index: Index, queries: DataFrame, filters: Filters | None = None, all
 
 
 def search(index: Index, queries: DataFrame, k: int, filters: Filters | None = None, allowed: DataFrame | None = None, sort: str = RELEVANCE, prior: float = 0.0, boosts: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
-    """The k best documents of each query, with rank. A blank query finds nothing here: see browse()."""
+    """The k best documents of each query, with rank. A blank query finds nothing here: see browse(). digits: by scores that are rounded so; sorted by relevance without a prior, the scores themselves are returned whole."""
     if sort == RELEVANCE and not prior:  # the scores alone decide: stored columns are read for what is left
         docs = matching(index, filters or Filters(), allowed)
         found = batch.best(index, docs, query_terms(index, queries).select("query_id", "term"), k, boosts or scoring.FIELD_BOOSTS, digits)
@@ -168,8 +168,8 @@ def search(index: Index, queries: DataFrame, k: int, filters: Filters | None = N
             if docs is not index.docs:
                 parts = parts.join(docs.select("id"), "id", "left_semi")
             found = scores(parts)
-        found = found.withColumn("score", F.round("score", digits)) if digits is not None else found
-        return top(found, k).join(_stored(index.docs), "id")
+        found = found.select("query_id", "id", (F.round("score", digits) if digits is not None else F.col("score")).alias("score"), F.col("score").alias("whole_"))
+        return top(found, k).withColumn("score", F.col("whole_")).drop("whole_").join(_stored(index.docs), "id")
     return top(ranked(index, queries, filters, allowed, prior if sort == RELEVANCE else 0.0, boosts, digits), k, sort)
 
 

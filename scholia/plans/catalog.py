@@ -203,7 +203,7 @@ SELECT doc_id, {_R} AS score, CAST(row_number() OVER (ORDER BY rank) AS INTEGER)
 def title_dedup_best(spark: SparkSession, d: str) -> DataFrame:
     """One row per title: the most cited in the place of the first."""
     s = search.search(_whole(spark, d), _one(spark), 200, digits=DIGITS)
-    return search.dedup_titles(s).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return search.dedup_titles(s).select(F.col("id").alias("doc_id"), F.round(F.round("score", DIGITS), 6).alias("score"), "rank")
 
 
 @query(f"""WITH {_QT_ONE}, {_BM25}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc),
