@@ -1,8 +1,11 @@
+import difflib
 import gzip
 import html
 import json
 import math
+import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -164,6 +167,44 @@ def test_windows_of_unclear_bodies():
             repair.reviewed(ref, body, first, last, keep)
 
 
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_similarity_and_windows_equal_difflib():
+    r = random.Random(7)
+    for n in range(80):
+        signs = r.choice(["ab", "abcde ", "aß İΣéx1ﬁ²ⅷ𝟙ǅ가 "])  # Σ becomes σ, at a word's end too
+        line = lambda most: "".join(r.choices(signs, k=r.randint(0, most)))  # noqa: B023, E731
+        body = [(str(i), line(90)) for i in range(r.randint(0, 90))]
+        ref = line(150) + "z" if n % 2 or not body else " ".join(t for _, t in body[1:4]) + "z" + line(3)
+        want, *lines = ("".join(map(bare, t)) for t in (ref, *(t for _, t in body)))
+        assert repair.similarity(ref, "") == 0.0 and [repair.signs_of(t) for _, t in body] == lines == [repair.skeleton(t)[0] for _, t in body]
+        assert all(repair.similarity(want, t) == ratio(want, t) for t in lines[:5])
+        first = max(((ratio(t, want[: len(t)]), i) for i, t in enumerate(lines[:80]) if len(t) >= 40), default=(0, 0))[1]
+        windows = [(ratio(want, "".join(lines[first:last])), last) for last in range(first + 1, min(len(lines), first + 40) + 1) if sum(map(len, lines[first : last - 1])) <= 2 * len(want)]
+        near, last = max(windows, default=(0.0, first))
+        assert repair.find_in_body(ref, body) == ("needs_boundary_review", near, [], [p for p, _ in body[first:last]])
+    assert repair.similarity("", "") == 1.0
+
+
+def test_unclear_bodies_of_long_sentences_take_little_time():
+    r = random.Random(3)
+    body = [(str(i), "".join(r.choices("abcdefghijklmnopqrst ", k=2000))) for i in range(80)]
+    start = time.process_time()
+    status, near, _, window = repair.find_in_body(body[40][1] + " and something that is not there", body)
+    assert status == "needs_boundary_review" and near > 0.98 and window == ["40"] and time.process_time() - start < 2
+
+
+def test_match_bodies_takes_nulls(spark):
+    rows = [("a", "B", [("0", None), ("1", "b c")]), (None, None, [("0", "x")]), ("c", "not there", None), ("d", "", []), ("e", "x", [])]
+    df = spark.createDataFrame(rows, "key string, reference string, sentences array<struct<path:string,text:string>>")
+    got = {x.key: x for x in repair.match_bodies(df).collect()}
+    assert [got[k].status for k in ("a", None, "c", "d", "e")] == ["partial_sentence_match", "no_published_abstract", "needs_boundary_review", "no_published_abstract", "needs_boundary_review"]
+    assert [tuple(e) for e in got["a"].edits] == [("1", "b c", "c")] and got["c"].suggested == [] and got["c"].similarity == 0.0
+    assert repair.match_bodies(df.limit(0)).count() == 0
+
+
 def test_segments_keep_all():
     text = ' He said "Stop." Then (it ended.) A new one! "Yes?" 3 more… e.g. this '
     cut = [text[a:b] for a, b in repair.segments(text)]
